@@ -21,10 +21,12 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: label: (template text, mandatory key phrase)
 TEMPLATES = {
-    "apache": ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
-    "mit": ("released under the mit license permission is hereby granted free of charge to any person obtaining a copy", "mit license"),
-    "cc-by-nc": ("licensed under cc by nc 4 0 creative commons attribution noncommercial", "cc by nc"),
-    "cc-by-sa": ("licensed under cc by sa 4 0 creative commons attribution sharealike", "cc by sa"),
+    "apache": ("licensed under the apache license version 2 0", "apache license"),
+    "apache-grant": ("you may not use this file except in compliance with the license", "except in compliance with the license"),
+    "mit": ("released under the mit license", "mit license"),
+    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
+    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
+    "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
     "gpl-3": ("this work is licensed under the gnu general public license version 3", "general public license version 3"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
