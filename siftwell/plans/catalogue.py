@@ -1,11 +1,272 @@
-"""Queries over the test tables, with the SQL that gives the same rows."""
+"""Queries over the test tables, with the SQL that gives the same rows.
+
+The corpus is ``documents`` with the fields message (text), lang and source, as three segments
+(doc_id mod 3) whose local ids keep the order of doc_id; deletes are the ids divisible by 11.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import analysis
+from siftwell.operators import build
+from siftwell.plans import compile as plan
+from siftwell.plans.query import And, Fuzzy, Or, Phrase, leaves, parse
+from siftwell.sources.index import segment_stats
+from siftwell.sources.ingest import last_wins, parse_json
+
+SEGMENTS = 3
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """docs(seg_ord, seg, doc, _id, fields)."""
+    fields = F.map_from_arrays(F.array(F.lit("message"), F.lit("lang"), F.lit("source")), F.array("text", "lang", "source"))
+    seg = (F.col("doc_id") % SEGMENTS).cast("int")
+    return _table(spark, d, "documents").select(seg.alias("seg_ord"), seg.cast("string").alias("seg"), F.expr(f"doc_id div {SEGMENTS}").alias("doc"), F.col("doc_id").cast("string").alias("_id"), fields.alias("fields"))
+
+
+def tables(spark: SparkSession, d: str, live: bool = False) -> plan.Tables:
+    docs = corpus(spark, d)
+    posts = build.postings(docs.select("seg_ord", "seg", "doc", "fields"))
+    gone = docs.where(F.col("_id").cast("long") % 11 == 0).select("seg", "doc") if live else None
+    return plan.Tables(docs, posts, posts.select("seg", "key").distinct(), gone)
+
+
+def _search(query: str, limit: int | None = None, rank: bool = False, live: bool = False) -> Callable:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        # a search needs few keys: they are filtered before the postings are grouped
+        found = plan.search(_narrow(spark, d, query, live), query, limit, rank)
+        return found.select(F.col("seg_ord").cast("long").alias("seg_ord"), "doc", "score")
+
+    return run
+
+
+def _narrow(spark: SparkSession, d: str, query: str, live: bool = False) -> plan.Tables:
+    """Tables with only the tokens that a query can use, so that others are never shuffled."""
+    docs = corpus(spark, d)
+    node = parse(query)
+    at = analysis.positions(docs.select("seg_ord", "seg", "doc", "fields")).withColumn("key", F.concat("field", F.lit(":"), "term"))
+    use = F.col("key").isin(plan.exact_keys(node))
+    for x in leaves(node):
+        if isinstance(x, Fuzzy) and x.distance:
+            use = use | (F.col("key").startswith(x.field + ":") & (F.abs(F.length("term") - len(x.term)) <= x.distance))
+    posts = at.where(use).groupBy("seg_ord", "seg", "doc", "key").agg(F.sort_array(F.collect_list("pos")).alias("pos")).withColumn("tf", F.size("pos").cast("long"))
+    gone = docs.where(F.col("_id").cast("long") % 11 == 0).select("seg", "doc") if live else None
+    return plan.Tables(docs, posts, posts.select("seg", "key").distinct(), gone)
+
+
+F_SQL = "f AS (SELECT doc_id, unnest(['message', 'lang', 'source']) AS field, unnest([text, lang, source]) AS v FROM documents)"
+T_SQL = r"t AS (SELECT doc_id, field, unnest(toks) AS term, generate_subscripts(toks, 1)::BIGINT - 1 AS pos FROM (SELECT doc_id, field, regexp_extract_all(lower(v), '[\p{L}\p{Nd}]+') AS toks FROM f))"
+P_SQL = "p AS (SELECT doc_id, field, term, field || ':' || term AS key, pos FROM t WHERE length(term) >= 2)"
+BASE = f"WITH {F_SQL}, {T_SQL}, {P_SQL}"
+
+
+def _near_sql(x: Fuzzy) -> str:
+    rest = f"regexp_replace(substr(key, {len(x.field) + 2}), '[^\\x00-\\x7F]', chr(1), 'g')"
+    return f"starts_with(key, '{x.field}:') AND levenshtein({rest}, '{x.term}') <= {x.distance}"
+
+
+def _leaf_sql(x) -> str:
+    if isinstance(x, Phrase):
+        first = x.terms[0][0]
+        joins = "".join(f" JOIN p p{i} ON p{i}.doc_id = p.doc_id AND p{i}.key = '{x.field}:{t}' AND p{i}.pos = p.pos + {g}" for i, (t, g) in enumerate(x.terms[1:], 1))
+        return f"SELECT p.doc_id, count(*) AS n FROM p{joins} WHERE p.key = '{x.field}:{first}' GROUP BY 1"
+    where = _near_sql(x) if isinstance(x, Fuzzy) and x.distance else f"key = '{x.field}:{x.term}'"
+    return f"SELECT doc_id, count(*) AS n FROM p WHERE {where} GROUP BY 1"
+
+
+def _search_sql(query: str, limit: int | None = None, rank: bool = False, live: bool = False) -> str:
+    node = parse(query)
+    own = leaves(node)
+    at = iter(range(len(own)))
+
+    def holds(x) -> str:
+        if isinstance(x, (And, Or)):
+            return "(" + (" AND " if isinstance(x, And) else " OR ").join(map(holds, x.kids)) + ")"
+        return f"coalesce(l{next(at)}.n, 0) > 0"
+
+    joins = "".join(f" LEFT JOIN ({_leaf_sql(x)}) l{i} ON l{i}.doc_id = d.doc_id" for i, x in enumerate(own))
+    score = " + ".join(f"coalesce(l{i}.n, 0)" for i in range(len(own)))
+    order = f" ORDER BY {'score DESC, ' * rank}seg_ord, doc LIMIT {limit}" if limit is not None else ""
+    dead = " AND d.doc_id % 11 <> 0" * live
+    return f"{BASE} SELECT d.doc_id % {SEGMENTS} AS seg_ord, d.doc_id // {SEGMENTS} AS doc, ({score})::BIGINT AS score FROM documents d{joins} WHERE {holds(node)}{dead}{order}"
+
+
+#: name: (query, limit, rank, live)
+SEARCHES = {
+    "search_term": ("the",), "search_field_term": ("lang:en",), "search_and": ("the AND lang:en",), "search_or": ("lang:fr OR lang:de",),
+    "search_grouped": ("(lang:en OR lang:fr) AND source:src3",), "search_precedence": ("lang:fr AND source:src3 OR lang:de",),
+    "search_phrase": ('"the the"',), "search_phrase_gap": ('"the a of"',), "search_phrase_field": ('lang:en AND message:"the of"',), "search_phrase_repeat": ('"of of of"',),
+    "search_fuzzy": ("attion~1",), "search_fuzzy_zero": ("the~0",), "search_fuzzy_and": ("attion~2 AND lang:en",),
+    "search_tf": ("the", None, True), "search_tf_or_branch": ("(the AND lang:fr) OR of OR of", None, True), "search_tf_phrase": ('"the of" OR in', None, True), "search_tf_fuzzy": ("attion~1", None, True),
+    "search_limit": ("of", 10), "search_top_k_tf": ("the OR of", 10, True), "search_live": ("the AND of", None, False, True), "search_multi_segment": ("in OR lang:es", 500),
+}
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return build.postings(corpus(spark, d).select("seg_ord", "seg", "doc", "fields"))
+
+
+def _joined(c: str) -> F.Column:
+    return F.concat_ws(",", F.transform(F.col(c), lambda p: p.cast("string")))
+
+
+def analyze_tokens(s, d):
+    return analysis.positions(corpus(s, d).select("_id", "seg_ord", "doc", "fields")).select(F.expr(f"doc * {SEGMENTS} + seg_ord").alias("doc_id"), "field", F.col("pos").cast("long").alias("pos"), "term")
+
+
+def field_terms(s, d):
+    return analysis.field_terms(corpus(s, d).select(F.col("_id").cast("long").alias("doc_id"), "fields"))
+
+
+def field_positions(s, d):
+    return build.postings(corpus(s, d).select(F.col("_id").cast("long").alias("doc_id"), "fields")).select("doc_id", "key", _joined("pos").alias("positions"))
+
+
+def build_postings(s, d):
+    return _posts(s, d).select("seg", "doc", "key", "tf")
+
+
+def term_dictionary(s, d):
+    return build.dictionary(_posts(s, d)).select("seg", "key", "df", "cf")
+
+
+def docid_remap(s, d):
+    live = corpus(s, d).where(F.col("_id").cast("long") % 11 != 0).select(F.col("_id").cast("long").alias("doc_id"))
+    return build.renumber(live, ["doc_id"]).select("doc_id", "new_doc")
+
+
+def postings_integrity(s, d):
+    return build.integrity(_posts(s, d), corpus(s, d))
+
+
+def fuzzy_expand(leaf: str):
+    def run(s, d):
+        return plan.fuzzy_keys(_narrow(s, d, leaf).terms, parse(leaf)).select("key").distinct()
+
+    return run
+
+
+def search_with_ram(s, d):
+    """Documents of the last segment as the buffer: the same matches, after all others."""
+    return _search("the AND lang:en", None)(s, d).withColumn("ram", (F.col("seg_ord") == SEGMENTS - 1).cast("int"))
+
+
+def search_hits(s, d):
+    q = "source:src7 AND of"
+    found = plan.hits(_narrow(s, d, q), q, None, True)
+    return found.select("_id", "_seg", "_doc", "_score", F.col("fields")["lang"].alias("lang"), F.col("fields")["source"].alias("source"))
+
+
+def search_stats(s, d):
+    q = "attion~1 OR the OR the"
+    t = _narrow(s, d, q)
+    return plan.lookups(t, q, SEGMENTS).select("postings_lookups", "postings_decoded", F.lit(SEGMENTS).cast("long").alias("segments_searched"))
+
+
+def _merged(s, d):
+    t = tables(s, d, True)
+    return build.merge(t.docs, t.postings, t.deletes)
+
+
+def merge_docs(s, d):
+    return _merged(s, d)[0].select("doc", "_id")
+
+
+def merge_postings(s, d):
+    return _merged(s, d)[1].select("doc", "key", "tf")
+
+
+def merge_dictionary(s, d):
+    t = tables(s, d, True)
+    live = t.postings.join(t.deletes, ["seg", "doc"], "left_anti")
+    return live.groupBy("key").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def delete_by_id(s, d):
+    return corpus(s, d).where(F.col("_id") == "42").select("seg", "doc", "_id")
+
+
+def segments(s, d):
+    t = tables(s, d, True)
+    return segment_stats(t.docs, t.terms, t.deletes)
+
+
+def upsert_last_wins(s, d):
+    return last_wins(_table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+def json_field_text(s, d):
+    got = parse_json(_table(s, d, "events").select("event_id", "props"), "props")
+    return got.select("event_id", F.col("fields")["k"].alias("k"))
+
+
+def delta_encode(s, d):
+    return _posts(s, d).select("seg", "doc", "key", F.concat_ws(",", F.transform(build.deltas(F.col("pos")), lambda p: p.cast("string"))).alias("deltas"))
+
+
+def encoded_size(s, d):
+    return build.dictionary(_posts(s, d)).select("seg", "key", "encoded_len")
+
+
+def scan_vs_index(s, d):
+    """Documents that the index and a scan of the texts disagree about: none."""
+    index = _search("of AND (lang:en OR lang:fr)")(s, d).select("seg_ord", "doc")
+    f = F.col("fields")
+    has = F.array_contains(analysis.tokens(f["message"]), "of") & (F.array_contains(analysis.tokens(f["lang"]), "en") | F.array_contains(analysis.tokens(f["lang"]), "fr"))
+    scan = corpus(s, d).where(has).select(F.col("seg_ord").cast("long").alias("seg_ord"), "doc")
+    both = index.withColumn("i", F.lit(1)).join(scan.withColumn("j", F.lit(1)), ["seg_ord", "doc"], "full")
+    return both.where("i is null or j is null").agg(F.count("*").alias("differ"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = (
+        analyze_tokens, field_terms, field_positions, build_postings, term_dictionary, docid_remap, postings_integrity, search_with_ram, search_hits, search_stats,
+        merge_docs, merge_postings, merge_dictionary, delete_by_id, upsert_last_wins, json_field_text, delta_encode, encoded_size, scan_vs_index,
+    )
+    return {f.__name__: f for f in named} | {"segment_stats": segments, "fuzzy_expand_1": fuzzy_expand("attion~1"), "fuzzy_expand_2": fuzzy_expand("attion~2")} | {k: _search(*v) for k, v in SEARCHES.items()}
+
 
-def queries():
-    return {}
+def _vi(x: str) -> str:
+    return "(1 + " + " + ".join(f"({x} >= {1 << 7 * k})::INT" for k in range(1, 9)) + ")"
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    seg = f"(doc_id % {SEGMENTS})::VARCHAR AS seg, doc_id // {SEGMENTS} AS doc"
+    live = "live AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id % 3, doc_id) - 1 AS doc FROM documents WHERE doc_id % 11 <> 0)"
+    sized = f"""{BASE}, g AS (SELECT doc_id % {SEGMENTS} AS s, doc_id // {SEGMENTS} AS doc, key, count(*) AS tf, list(pos ORDER BY pos) AS ps FROM p GROUP BY ALL),
+      e AS (SELECT s, key, doc - lag(doc, 1, 0) OVER (PARTITION BY s, key ORDER BY doc) AS dd, tf, ps FROM g),
+      b AS (SELECT s, key, {_vi("dd")} + {_vi("tf")} + list_sum(list_transform(range(1, len(ps) + 1), lambda i: {_vi("(ps[i] - CASE WHEN i > 1 THEN ps[i - 1] ELSE 0 END)")})) AS n FROM e)"""
+    one = parse("attion~1")
+    out = {
+        "analyze_tokens": f"{BASE} SELECT doc_id, field, pos, term FROM p",
+        "field_terms": f"{BASE} SELECT DISTINCT doc_id, key FROM p",
+        "field_positions": f"{BASE} SELECT doc_id, key, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY ALL",
+        "build_postings": f"{BASE} SELECT {seg}, key, count(*)::BIGINT AS tf FROM p GROUP BY doc_id, key",
+        "term_dictionary": f"{BASE} SELECT (doc_id % {SEGMENTS})::VARCHAR AS seg, key, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM p GROUP BY 1, 2",
+        "docid_remap": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_doc FROM documents WHERE doc_id % 11 <> 0",
+        "postings_integrity": "SELECT 0::BIGINT AS doc_order, 0::BIGINT AS pos_order, 0::BIGINT AS orphans",
+        "search_with_ram": f"SELECT *, (seg_ord = {SEGMENTS - 1})::INT AS ram FROM ({_search_sql('the AND lang:en')})",
+        "search_hits": f"SELECT d.doc_id::VARCHAR AS _id, x.seg_ord::VARCHAR AS _seg, x.doc::VARCHAR AS _doc, x.score::VARCHAR AS _score, d.lang, d.source FROM ({_search_sql('source:src7 AND of')}) x JOIN documents d ON d.doc_id = x.doc * {SEGMENTS} + x.seg_ord",
+        "search_stats": f"{BASE}, k AS (SELECT DISTINCT doc_id % {SEGMENTS} AS s, key FROM p), x AS (SELECT * FROM k WHERE {_near_sql(one)}) SELECT ({2 * SEGMENTS} + (SELECT count(*) FROM x))::BIGINT AS postings_lookups, (SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM k WHERE key = 'message:the'))::BIGINT AS postings_decoded, {SEGMENTS}::BIGINT AS segments_searched",
+        "merge_docs": f"WITH {live} SELECT doc, doc_id::VARCHAR AS _id FROM live",
+        "merge_postings": f"{BASE}, {live} SELECT live.doc, p.key, count(*)::BIGINT AS tf FROM p JOIN live USING (doc_id) GROUP BY ALL",
+        "merge_dictionary": f"{BASE} SELECT key, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM p WHERE doc_id % 11 <> 0 GROUP BY key",
+        "delete_by_id": f"SELECT {seg}, doc_id::VARCHAR AS _id FROM documents WHERE doc_id = 42",
+        "segment_stats": f"{BASE}, k AS (SELECT doc_id % {SEGMENTS} AS s, count(DISTINCT key) AS terms FROM p GROUP BY 1) SELECT s::VARCHAR AS seg, count(*)::BIGINT AS docs, count(*) FILTER (doc_id % 11 = 0)::BIGINT AS deleted, count(*) FILTER (doc_id % 11 <> 0)::BIGINT AS live, any_value(terms)::BIGINT AS terms FROM documents JOIN k ON k.s = doc_id % {SEGMENTS} GROUP BY s",
+        "upsert_last_wins": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+        "json_field_text": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+        "delta_encode": f"{BASE}, x AS (SELECT doc_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id, key ORDER BY pos) AS dp FROM p) SELECT {seg}, key, string_agg(dp::VARCHAR, ',' ORDER BY pos) AS deltas FROM x GROUP BY doc_id, key",
+        "encoded_size": f"{sized} SELECT s::VARCHAR AS seg, key, ({_vi('count(*)')} + sum(n))::BIGINT AS encoded_len FROM b GROUP BY s, key",
+        "scan_vs_index": "SELECT 0::BIGINT AS differ",
+        "fuzzy_expand_1": f"{BASE} SELECT DISTINCT key FROM p WHERE {_near_sql(one)}",
+        "fuzzy_expand_2": f"{BASE} SELECT DISTINCT key FROM p WHERE {_near_sql(parse('attion~2'))}",
+    }
+    return out | {k: _search_sql(*v) for k, v in SEARCHES.items()}
