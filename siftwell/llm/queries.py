@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.SQL}
+    return {"op4_line_dedup": lines.SQL, "op10_secret_scan": secrets.SQL}

@@ -164,3 +164,23 @@ def op10(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select(
         "doc_id", *(count(k).alias(f"n_{BASE[k].kind}") for k in range(n)), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("secrets")).alias("spans")
     )
+
+
+def _sql() -> str:
+    """The contract's rows in DuckDB: matches and what lies between them give the places, as in :func:`found`."""
+    parts = []
+    for k, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"SELECT rid, {k} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v FROM d WHERE regexp_matches(text, '{p}')")
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+x AS ({" UNION ALL ".join(parts)}),
+y AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x),
+z AS (SELECT rid, rank, kind, length(m[i]) AS n, list_sum(list_transform(g[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda t: length(t))), 0) AS s FROM y WHERE length(v[i]) >= least),
+w AS (SELECT rid, rank, s, kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT AS span, s + n AS e FROM z)
+SELECT any_value(d.doc_id) AS doc_id, {", ".join(f"(count(*) FILTER (w.rank = {k}))::BIGINT AS n_{r.kind}" for k, r in enumerate(BASE))},
+  sha256(coalesce(string_agg(w.span, ',' ORDER BY w.s, w.rank, w.e) FILTER (w.rank < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(w.span, ',' ORDER BY w.s, w.rank, w.e), '') AS spans
+FROM d LEFT JOIN w USING (rid) GROUP BY d.rid"""
+
+
+SQL = _sql()
