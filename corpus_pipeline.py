@@ -31,9 +31,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = written(tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    """Documents that hold no benchmark item; rows without an id, or with one id, are told apart by their texts."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = written(tiling.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key").select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
