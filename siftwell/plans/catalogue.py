@@ -106,7 +106,7 @@ SEARCHES = {
     "search_phrase": ('"the the"',), "search_phrase_gap": ('"the a of"',), "search_phrase_field": ('lang:en AND message:"the of"',), "search_phrase_repeat": ('"of of of"',),
     "search_fuzzy": ("attion~1",), "search_fuzzy_zero": ("the~0",), "search_fuzzy_and": ("attion~2 AND lang:en",),
     "search_tf": ("the", None, True), "search_tf_or_branch": ("(the AND lang:fr) OR of OR of", None, True), "search_tf_phrase": ('"the of" OR in', None, True), "search_tf_fuzzy": ("attion~1", None, True),
-    "search_limit": ("of", 10), "search_top_k_tf": ("the OR of", 10, True), "search_live": ("the AND of", None, False, True), "search_multi_segment": ("in OR lang:es", 500),
+    "search_limit": ("of", 10), "search_top_k_tf": ("the OR of", 10, True), "search_live": ("the AND of", None, False, True), "search_multi_segment": ("in OR lang:es",),
 }
 
 

@@ -41,3 +41,10 @@ def test_codec_golden(spark):
     posts = spark.createDataFrame([("s", "k", 0, [0], 1), ("s", "k", 1, [0, 2], 2), ("s", "k", 2, [1], 1)], "seg string, key string, doc long, pos array<int>, tf long")
     assert build.dictionary(posts).first().encoded_len == 11
     assert [r[0] for r in posts.orderBy("doc").select(build.deltas(posts.pos)).collect()] == [[0], [0, 2], [1]]
+
+
+def test_multi_segment_returns_all_matches(spark):
+    d = DATA.replace("sf0.001", "sf0.01")
+    got = {r.seg_ord: r["count"] for r in catalogue.queries()["search_multi_segment"](spark, d).groupBy("seg_ord").count().collect()}
+    sql = r"SELECT doc_id % 3, count(*) FROM '{}/documents.parquet' WHERE lang = 'es' OR list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+'), 'in') GROUP BY 1"
+    assert got == dict(duckdb.sql(sql.format(d)).fetchall()) and len(got) == 3 and sum(got.values()) > 500
