@@ -26,7 +26,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id."""
+    """One document of each class of near copies: that with the smallest doc_id; one without an id if no other has one."""
     return neardup.keep_one(docs)
 
 

@@ -164,13 +164,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t, class_id, n_copies) for each row: class_id is the smallest key of the class.
+    """(doc_id, t, comp, class_id, n_copies) for each row: class_id is the smallest key of the class, comp its smallest text hash.
 
     Texts are near duplicates if the multisets of their five-word shingles overlap by 0.8 or more
     (fewer than five words: one shingle of all); classes are the components of such links. Equal
     texts, null as empty, are always in one class; texts without words only with equal ones.
     Repeated rows and ties are rows of their own in one class. Null keys never name a class that
-    has another key. ``n_copies``: rows of equal text and key."""
+    has another key; classes may have one class_id (null, or a repeated key), but never one comp. ``n_copies``: rows of equal text and key."""
     spark = docs.sparkSession
     small_batches(spark)
     t, t2 = text_hash(text)
@@ -197,8 +197,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     named = sketch.join(comp, "t", "left").select("doc_id", "t", F.coalesce("comp", "t").alias("comp"))
     classes = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     copies = named.groupBy("doc_id", "t", "comp").agg(F.count("*").alias("n_copies"))
-    one = copies.join(classes, "comp").select("doc_id", "t", "class_id", "n_copies")
-    return one.select("doc_id", "t", "class_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_")).drop("_")
+    one = copies.join(classes, "comp").select("doc_id", "t", "comp", "class_id", "n_copies")
+    return one.select("doc_id", "t", "comp", "class_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_")).drop("_")
 
 
 def _by(name: str):
@@ -220,9 +220,10 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row with the smallest doc_id, once. Columns as they are."""
+    """The rows of ``docs`` that stay: of each class the row with the smallest doc_id (nulls last, then the smallest text hash), once. Columns as they are."""
     classes = written(near_classes(docs), "classes")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("t").alias("t"), F.max("n_copies").alias("n")).select(F.col("class_id").alias("_id"), F.col("t").alias("_t"), "n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n_copies")).alias("least")
+    kept = classes.groupBy("comp").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.t").alias("_t"), F.col("least.n_copies").alias("n"))
     t = text_hash("text")[0]
     names = [F.col(f"`{c}`") for c in docs.columns]
     single = docs.join(kept.where("n = 1"), F.col("doc_id").eqNullSafe(F.col("_id")) & (t == F.col("_t"))).select(*names)

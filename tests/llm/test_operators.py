@@ -155,3 +155,10 @@ def test_pipeline(spark):
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
         docs = after
     assert set(queries.queries()) >= {"op1_fingerprints", "op10_secret_scan"}
+
+
+def test_near_dedup_keeps_one_of_each_class(spark):
+    w = WORDS.split()
+    many = [(None, WORDS), (None, WORDS), (None, " ".join(w[::-1])), (None, "one two"), (7, "three four"), (7, "five six"), (7, "five six"), (8, " ".join(w[3:] + w[:3]) + " tail"), (None, " ".join(w[3:] + w[:3]))]
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(table(spark, many)).collect()]
+    assert Counter(kept) == Counter([many[0], many[2], many[3], many[4], many[5], many[7]])
