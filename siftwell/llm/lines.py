@@ -107,10 +107,11 @@ def twice_seen(docs: DataFrame, text: str, least_len: int) -> tuple[np.ndarray,
     return out, n_bits
 
 
-def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int = 1, order: str | None = None) -> DataFrame:
-    """Keys of ``least_len`` characters or more in at least ``least`` rows: (key binary, n, first_doc).
+def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int = 1, order: str | None = None, row: str | None = None) -> DataFrame:
+    """Keys of ``least_len`` characters or more in at least ``least`` rows: (key binary, n, first_row).
 
-    ``first_doc`` is the smallest non-null value of column ``order`` (a bigint) among those rows. Counts are
+    ``first_row`` is column ``row`` (a bigint of its own in each row) of the first of those rows: by column
+    ``order`` (a bigint, nulls last), then a hash of the text, then ``row``. It is null if no ``order`` is given. Counts are
     exact; each row counts as a document, so repeated rows count again."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -122,27 +123,30 @@ def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int
 
         def rows():
             keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())], ["key", "n", "first_doc"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([held[k][j] for k in keys], pa.int64()) for j in range(5))], ["key", "n", "none", "at", "h", "row"])
             held.clear()
             return out
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for none, i, x, r, t in zip(*(c.to_pylist() for c in b.columns)):
+                mine = (none, i, x, r)
                 for k in set(keys_of(t)):
                     if len(k) < least_len:
                         continue
                     h = xxhash.xxh3_64_intdigest(k) % n_bits
                     if bloom[h >> 3] >> (h & 7) & 1:
-                        n, first = held.get(k, (0, None))
-                        held[k] = n + 1, i if first is None else first if i is None else min(first, i)
+                        n, *first = held.get(k, (0, *mine))
+                        held[k] = n + 1, *min(tuple(first), mine)
                 if len(held) > HELD:
                     yield rows()
         if held:
             yield rows()
 
-    at = F.col(f"`{order}`").cast("long") if order else F.lit(None).cast("long")
-    counted = docs.select(at.alias("at"), F.col(f"`{text}`").alias("text")).mapInArrow(suspects, "key binary, n long, first_doc long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc")).where(F.col("n") >= least)
+    t, at, zero = F.col(f"`{text}`"), F.col(f"`{order}`").cast("long") if order else F.lit(0), F.lit(0).cast("long")
+    place = (at.isNull().cast("long"), F.coalesce(at, zero), F.xxhash64(F.coalesce(t, F.lit(""))), F.col(f"`{row}`")) if order else (zero,) * 4
+    counted = docs.select(*(c.alias(x) for c, x in zip(place, ("none", "at", "h", "row"))), t.alias("text")).mapInArrow(suspects, "key binary, n long, none long, at long, h long, row long")
+    first = F.min(F.struct("none", "at", "h", "row"))["row"] if order else F.first(F.lit(None).cast("long"))
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), first.alias("first_row")).where(F.col("n") >= least)
 
 
 OUT = "n_lines long, n_dropped long, kept string"
@@ -152,18 +156,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
     """Add n_lines, n_dropped and kept (the text of the lines that stay) to each row.
 
     A line goes if its key has ``least_len`` characters and is in at least ``least`` rows; with
-    ``keep_first`` it stays in its first place: the row with the smallest ``order``, first line.
-    Null and empty texts are one empty line. Nulls in ``order`` are never first if another row
-    has a value; if all are null, the line goes everywhere. Existing columns of the three names
-    are replaced; all others stay. Ties in ``order``: every row with the smallest value keeps the line."""
+    ``keep_first`` it stays in its first place, always one: the first line of the row with the
+    smallest ``order``, nulls last; of such rows that with the smallest hash of its text, and of
+    equal texts one. Null and empty texts are one empty line. Existing columns of the three names
+    are replaced; all others stay. With ``keep_first`` the rows are written with a number first."""
     spark = docs.sparkSession
-    hot = written(repeats(docs, text, least, least_len, order if keep_first else None), "lines")
-    few = hot.limit(MOST_KEYS + 1).count() <= MOST_KEYS
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    at = F.col(f"`{order}`").cast("long") if keep_first else F.lit(None).cast("long")
+    if keep_first:
+        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    hot = written(repeats(docs, text, least, least_len, *((order, "_row") if keep_first else ())), "lines")
+    few = hot.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    at = F.col("_row") if keep_first else F.lit(None).cast("long")
     if few:
-        found = spark.sparkContext.broadcast({(r.key if len(r.key) < 16 else hashlib.blake2b(r.key, digest_size=16).digest()): r.first_doc for r in hot.toLocalIterator()})
-        own = F.lit(None).cast("array<struct<key:binary,first_doc:bigint>>")
+        found = spark.sparkContext.broadcast({(r.key if len(r.key) < 16 else hashlib.blake2b(r.key, digest_size=16).digest()): r.first_row for r in hot.toLocalIterator()})
+        own = F.lit(None).cast("array<struct<key:binary,first_row:bigint>>")
         rows = docs.select(*(F.col(f"`{c}`") for c in names), at.alias("_at"), own.alias("_hot"))
     else:
         # each row's repeats come to it by a join on the keys, and by a second one on the row's own hash
@@ -172,7 +178,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
         line = F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), "\n")))
         key = F.encode(F.translate(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8")
         pairs = docs.select(me.alias("_me"), line.alias("line")).select("_me", key.alias("key")).distinct().join(hot, "key")
-        lists = pairs.groupBy("_me").agg(F.collect_list(F.struct("key", "first_doc")).alias("_hot"))
+        lists = pairs.groupBy("_me").agg(F.collect_list(F.struct("key", "first_row")).alias("_hot"))
         rows = docs.withColumn("_me", me).join(lists, "_me", "left").select(*(F.col(f"`{c}`") for c in names), at.alias("_at"), "_hot")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +186,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
         for b in batches:
             n_lines, n_dropped, kept = [], [], []
             for t, i, own in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "_at", "_hot"))):
-                drop = known if known is not None else {(x["key"] if len(x["key"]) < 16 else hashlib.blake2b(x["key"], digest_size=16).digest()): x["first_doc"] for x in own or ()}
+                drop = known if known is not None else {(x["key"] if len(x["key"]) < 16 else hashlib.blake2b(x["key"], digest_size=16).digest()): x["first_row"] for x in own or ()}
                 lines, keys, seen = (t or "").split("\n"), keys_of(t), set()
                 stay = []
                 for x, k in zip(lines, keys):

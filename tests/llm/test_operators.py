@@ -162,3 +162,13 @@ def test_near_dedup_keeps_one_of_each_class(spark):
     many = [(None, WORDS), (None, WORDS), (None, " ".join(w[::-1])), (None, "one two"), (7, "three four"), (7, "five six"), (7, "five six"), (8, " ".join(w[3:] + w[:3]) + " tail"), (None, " ".join(w[3:] + w[:3]))]
     kept = [(r.doc_id, r.text) for r in neardup.keep_one(table(spark, many)).collect()]
     assert Counter(kept) == Counter([many[0], many[2], many[3], many[4], many[5], many[7]])
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_first_line_stays_without_ids(spark, most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_KEYS", most)
+    many = [(None, "same line")] * 12 + [(None, f"own {i}\nother line") for i in range(12)] + [(5, "tied line")] * 6 + [(5, f"tied line\n{i}") for i in range(6)]
+    out = lines.dedup_lines(table(spark, many), keep_first=True).collect()
+    kept = Counter(x for r in out for x in r.kept.split("\n"))
+    assert (kept["same line"], kept["other line"], kept["tied line"]) == (1, 1, 1)
+    assert sum(r.n_lines - r.n_dropped for r in out) == 3 + 12 + 6
