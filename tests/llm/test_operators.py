@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -172,3 +173,24 @@ def test_first_line_stays_without_ids(spark, most, monkeypatch):
     kept = Counter(x for r in out for x in r.kept.split("\n"))
     assert (kept["same line"], kept["other line"], kept["tied line"]) == (1, 1, 1)
     assert sum(r.n_lines - r.n_dropped for r in out) == 3 + 12 + 6
+
+
+def test_lm_scores_against_all_other_rows(spark, monkeypatch):
+    monkeypatch.setattr(crossparse, "BUCKET", 500)
+    monkeypatch.setattr(crossparse, "AT_ONCE", 700)
+
+    def phrases(data, refs):
+        n = i = 0
+        while i < len(data):
+            k = 1
+            while i + k <= len(data) and any(data[i : i + k] in r for r in refs):
+                k += 1
+            i, n = i + max(1, k - 1), n + 1
+        return n
+
+    r = random.Random(3)
+    many = [(i, " ".join(r.choices(WORDS.split(), k=r.randrange(1, 60)))) for i in range(30)] + [(50, "ab" * 400), (51, "ab" * 300 + "c"), (52, "é😀\x00\x00z"), (None, WORDS), (53, WORDS * 40), (54, WORDS * 40 + "!"), (55, None), (56, ""), (57, "z"), (58, many_line := "one line\n" * 50), (59, many_line)]
+    want = Counter()
+    for k, (i, t) in enumerate(many):
+        want[i, len((t or "").encode()), phrases((t or "").encode(), [(x or "").encode() for j, (_, x) in enumerate(many) if j != k])] += 1
+    assert Counter((x.doc_id, x.n_bytes, x.n_phrases) for x in crossparse.op7(table(spark, many)).collect()) == want
