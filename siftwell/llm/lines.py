@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
         found = spark.sparkContext.broadcast(None)
         me = F.xxhash64(F.col(f"`{text}`"))
         line = F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), "\n")))
-        key = F.encode(F.translate(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8")
+        key = F.encode(F.translate(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8")
         pairs = docs.select(me.alias("_me"), line.alias("line")).select("_me", key.alias("key")).distinct().join(hot, "key")
         lists = pairs.groupBy("_me").agg(F.collect_list(F.struct("key", "first_row")).alias("_hot"))
         rows = docs.withColumn("_me", me).join(lists, "_me", "left").select(*(F.col(f"`{c}`") for c in names), at.alias("_at"), "_hot")

@@ -194,3 +194,11 @@ def test_lm_scores_against_all_other_rows(spark, monkeypatch):
     for k, (i, t) in enumerate(many):
         want[i, len((t or "").encode()), phrases((t or "").encode(), [(x or "").encode() for j, (_, x) in enumerate(many) if j != k])] += 1
     assert Counter((x.doc_id, x.n_bytes, x.n_phrases) for x in crossparse.op7(table(spark, many)).collect()) == want
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_lines_that_end_in_other_separators(spark, most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_KEYS", most)
+    many = [(i, f"foo {end}\nown {i}") for i, end in enumerate("\u0085\u2028\u2029" * 10)]
+    out = lines.dedup_lines(table(spark, many)).collect()
+    assert {r.doc_id: (r.n_dropped, r.kept) for r in out} == {i: (1, f"own {i}") for i, _ in many}
