@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are cut into overlapping chunks that cover all of it. Learned filters of WIDTH
-bytes slide over each chunk by STRIDE; each filter's greatest response in a chunk is kept
+bytes slide over each chunk byte by byte, so every byte is in a window; each filter's greatest response in a chunk is kept
 (max-pooling), the chunks' maxima are averaged and maximised over the document, and a logistic
 layer combines them into one probability. A filter's weights are a table of its response to
 each byte at each place, so a response is a sum of lookups.
@@ -23,9 +23,9 @@ from siftwell.llm.textbatch import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WIDTH, STRIDE, FILTERS, CHUNK, OVERLAP = 6, 3, 16, 768, 6
-#: Labelled rows of each class that are fitted, at most; the sample is the rows of smallest hash.
-MOST_ROWS = 1200
+WIDTH, FILTERS, CHUNK, OVERLAP = 6, 16, 768, 5
+#: Labelled rows of each class that are fitted, at most, and the bytes that a fitted text may have; the sample is the rows of smallest hash.
+MOST_ROWS, MOST_TEXT = 1200, 1 << 16
 EPOCHS, RATE = 6, 0.02
 
 
@@ -38,20 +38,19 @@ class Model:
 
 
 def chunks(data: bytes) -> list[np.ndarray]:
-    """Overlapping chunks over all bytes; a short last one is filled with zero bytes."""
+    """Overlapping chunks over all bytes; only a text shorter than a filter is filled with zero bytes."""
     b = np.frombuffer(data, np.uint8)
     found = []
     for i in range(0, max(1, len(b) - OVERLAP), CHUNK - OVERLAP):
-        c = b[i : i + CHUNK]
-        found.append(np.concatenate([c, np.zeros(max(0, WIDTH + STRIDE - len(c)), np.uint8)]))
-    return found
+        found.append(b[i : i + CHUNK])
+    return found if len(b) >= WIDTH else [np.concatenate([b, np.zeros(WIDTH - len(b), np.uint8)])]
 
 
 def responses(c: np.ndarray, m: Model) -> np.ndarray:
-    n = (len(c) - WIDTH) // STRIDE + 1
+    n = len(c) - WIDTH + 1
     r = np.repeat(m.bias[None, :], n, 0)
     for o in range(WIDTH):
-        r += m.table[o].take(c[o : o + STRIDE * (n - 1) + 1 : STRIDE], axis=0)
+        r += m.table[o].take(c[o : o + n], axis=0)
     return r
 
 
@@ -105,7 +104,7 @@ def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 7) -> M
             m.bias -= step(gb, g2[1])
             js, ks = np.nonzero(back)
             for j, k in zip(js, ks):
-                p = at[j, k] * STRIDE
+                p = at[j, k]
                 w = cs[j][p : p + WIDTH]
                 o = np.arange(WIDTH)
                 m.table[o, w, k] -= rate * 0.5 * back[j, k]
@@ -113,31 +112,38 @@ def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 7) -> M
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
-    """Fit on at most ``most`` labelled rows of each class whose crc32(doc_id) mod 3 isn't 1; their whole texts come to the driver.
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_text: int = MOST_TEXT) -> Model:
+    """Fit on at most ``most`` labelled rows of each class whose crc32(doc_id) mod 3 isn't 1 and whose text has at most ``most_text`` bytes.
 
-    Null labels and ids are left out; with one class only, the model gives that class's share."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect() if r.quality in (0, 1)}
+    Those texts come to the driver (2 * most * most_text bytes at most). Null labels and ids, labels
+    but 0 and 1, and labels without a document are left out; an id with several labels or documents
+    gives a row for each, within the bound. With one class only, the model gives that class's share;
+    without any label it gives 0.5. Other columns are not read."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    n = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy("doc_id", "text", "quality").collect()
-    share = n.get(1, 0) / max(1, sum(n.values())) if n else 0.5
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_text)
+    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(2 * most).collect()
+    share = n.get(1, 0) / sum(n.values()) if n else 0.5
     ones = [r for r in sample if r.quality == 1]
     zeros = [r for r in sample if r.quality == 0]
-    k = max(1, min(len(ones), len(zeros))) if ones and zeros else len(sample)
-    rows = zeros + ones if not (ones and zeros) else [r for x in (zeros, ones) for r in (x * -(-max(len(ones), len(zeros)) // len(x)))[: max(k, len(ones), len(zeros))]]
+    rows = zeros + ones if not (ones and zeros) else [r for x in (zeros, ones) for r in (x * -(-max(len(ones), len(zeros)) // len(x)))[: max(len(ones), len(zeros))]]
     return fit([(r.text or "").encode() for r in rows], [r.quality for r in rows], share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add ``out``, the probability of label 1, from the whole text's bytes alone. Null is scored as the empty text."""
+    """Add ``out``, the probability of label 1, from the whole text's bytes alone.
+
+    Null is scored as the empty text; equal texts have equal scores, and rows are independent.
+    ``out`` replaces a column of that name, all others stay; the empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # WIDTH * 256 * FILTERS numbers
+    # plain arrays (WIDTH * 256 * FILTERS numbers): workers have no copy of this library
+    sent = spark.sparkContext.broadcast((model.table, model.bias, model.out, model.out_bias))
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = sent.value
+        m = Model(*sent.value)
         for a in batches:
             yield pa.array([probability((t or "").encode(), m) for t in a.to_pylist()], pa.float64())
 
@@ -145,6 +151,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's rows: one for each row of ``docs``, repeated rows and null ids too (never held out)."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

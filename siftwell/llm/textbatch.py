@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this library
 
 #: Rows and bytes that one Arrow batch may hold, so a Python worker's memory doesn't depend on the texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
 
@@ -56,6 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores after it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that ``written`` made, when nothing lazy reads them any more."""
     jvm = spark.sparkContext._jvm
