@@ -2,18 +2,19 @@
 
 Documents become pieces of at most the largest permitted length; pieces are dealt to shards
 of bounded size by hash, and each shard is packed by best fit, longest piece first. A piece
-goes to the open bin that it leaves least room in; if none has room, a bin is opened. What
-size to open is optimised jointly for all permitted lengths: the shard is packed once for
-each opening length (and once with the least cost a token that still fits), every bin is then
-downsized to the least permitted length that holds its contents, and the cheapest packing of
-all is kept. Only (id, piece, length) is shuffled, never texts.
+goes to the open bin that it leaves least room in; if none has room, a bin is opened. Which
+size to open is decided for each bin, over all permitted lengths: the pieces still to come
+(all not larger) are tried in it, largest first, and the length whose cost for each token
+so filled is least is opened. The shard is also packed with one opening length throughout,
+for each permitted length; every bin is downsized to the least permitted length that holds
+its contents, and the cheapest packing is kept. Only (id, piece, length) is shuffled, never texts.
 """
 
 from __future__ import annotations
 
 import sys
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -29,23 +30,56 @@ SHARD = 20_000
 OUT = "doc_id long, piece int, start long, n_tokens long, shard int, bin int, capacity int, at int"
 
 
+class Remaining:
+    """How many pieces of each size are still to come."""
+
+    def __init__(self, sizes: list[int], most: int):
+        self.count = Counter(sizes)
+        self.down = list(range(most + 1))  # the largest size up to each that may still come
+
+    def largest(self, room: int) -> int:
+        """The largest size still to come that fits; 0 if there is none."""
+        down, at = self.down, room
+        while at and not (down[at] == at and self.count[at]):
+            down[at] = down[at - 1] if down[at] == at else down[down[at]]
+            at = down[at]
+        return at
+
+    def filled(self, first: int, capacity: int) -> int:
+        """Tokens of a bin that holds ``first`` and then, again and again, the largest that fits."""
+        used, taken = first, Counter()
+        while s := self.largest(capacity - used):
+            n = min(self.count[s] - taken[s], (capacity - used) // s)
+            if n <= 0:  # all of this size are in this bin already: look below it
+                while s and self.count[s] <= taken[s]:
+                    s = self.largest(s - 1)
+                if not s:
+                    break
+                n = min(self.count[s] - taken[s], (capacity - used) // s)
+            taken[s] += n
+            used += n * s
+        return used
+
+
 def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[tuple[int, int]], list[int]]:
     """(bin, offset) of each size, and the final capacity of each bin. Sizes must fit the largest capacity."""
     caps = sorted(capacities)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     best = None
-    for policy in [*caps, None]:
+    for policy in [None, *caps]:
         room: list[tuple[int, int]] = []
         used: list[int] = []
         place: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+        left = Remaining(sizes, caps[-1])
         for i in order:
             s = sizes[i]
+            left.count[s] -= 1
             at = bisect_left(room, (s, -1))
             if at < len(room):
                 free, b = room.pop(at)
             else:
                 fits = [c for c in caps if c >= s]
-                free = min(fits, key=lambda c: ((c + overhead) / c, c)) if policy is None else min((c for c in fits if c >= policy), default=fits[-1])
+                free = min(fits, key=lambda c: ((c + overhead) / left.filled(s, c), c)) if policy is None else min((c for c in fits if c >= policy), default=fits[-1])
                 b = len(used)
                 used.append(0)
             place[i] = b, used[b]
@@ -71,8 +105,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", length: str = "n_tokens
     pieces = items.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))).alias("_p"))
     pieces = pieces.select("doc_id", F.col("_p").cast("int").alias("piece"), (F.col("_p") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("_n") - F.col("_p") * most).alias("n_tokens"))
     shards = max(1, -(-docs.count() // shard))
-    # rows of one key (nulls above all) are spread by their place, too
-    salted = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)).cast("int"))
+    # a row's place is part of the hash, so that rows of one key (or none) are spread as all others
+    salted = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "n_tokens"], na_position="last", kind="stable")
