@@ -42,6 +42,8 @@ def tiles(item: list[int], doc: list[int], least: int = SEED) -> list[tuple[int,
             matches, longest = [], s - 1
             for d, h in _runs(doc, used_d, s):
                 for a in table.get(h, ()):
+                    if a and d and item[a - 1] == doc[d - 1] and not used_i[a - 1] and not used_d[d - 1]:
+                        continue  # inside a longer match, which is found where it begins
                     n = 0
                     while a + n < len(item) and d + n < len(doc) and item[a + n] == doc[d + n] and not used_i[a + n] and not used_d[d + n]:
                         n += 1
@@ -85,7 +87,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """(doc_id, item_id, coverage, n_tiles, longest) for each row and item with coverage of ``coverage`` or more.
 
     Items of fewer than ``seed`` words match nothing, nor do null or empty texts. Repeated rows and
-    items give repeated results; null keys are kept as null. The items are taken in blocks of bounded size."""
+    items give repeated results; null keys are kept as null; ties of tiles go to the first place. Other
+    columns are not read; an empty table gives no rows. The items are taken in blocks of bounded size."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`"))
     out, block, size = None, [], 0
