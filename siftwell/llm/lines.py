@@ -1,13 +1,14 @@
 """Line dedup with two Bloom filters, once-seen and twice-seen, and exact confirmation of suspects.
 
 1. Each task hashes the keys of its lines (once a document) to bits and sends the bits it saw
-   once and those it saw again, by segment of the filter; a segment's bits are joined by OR,
-   and a bit from two tasks counts as seen twice. Memory: one segment.
-2. The twice-seen filter, of at most MOST_BITS bits whatever the input, is broadcast. Only keys
-   that it holds are counted, as whole keys, after a count in each task. A full filter only
-   makes more keys suspects; it never changes the result.
+   once and those it saw again, by segment of the filter. The filter has some 16 bits a line
+   whatever the input; a task merges one segment at a time: a bit that comes twice is twice-seen.
+2. Suspects are the keys whose bit is twice-seen. If their bits are few (MOST_SUSPECTS, 8 bytes
+   each) they are broadcast, so that no other key is shuffled; beyond that, the keys, counted in
+   each task, meet the bits in a join. Suspects are counted as whole keys.
 3. Keys in at least ``least`` documents are repeats. They are broadcast as hashes if few
-   (MOST_KEYS); beyond that, each document's suspects are joined with them.
+   (MOST_KEYS); beyond that, each document's suspects are joined with them. All paths make keys
+   by the same function and give the same rows.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.textbatch import small_batches, written
+from siftwell.llm.textbatch import fresh, small_batches, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_BITS, LEAST_BITS, SEGMENTS = 1 << 28, 1 << 22, 64
+#: Bits of the smallest filter, and of a segment.
+LEAST_BITS, SEGMENT = 1 << 22, 1 << 22
 #: Bits for each byte of text: some 16 for a line of 64 bytes.
 BITS_PER_BYTE = 0.25
-MOST_KEYS = 1_000_000
+MOST_SUSPECTS, MOST_KEYS = 4_000_000, 1_000_000
 #: Keys whose counts a task holds before it sends them on.
 HELD = 100_000
 STRIP = b" \t\n\x0b\x0c\r"
@@ -41,24 +43,26 @@ def keys_of(text: str | None) -> list[bytes]:
     return [x.strip(STRIP).lower() for x in (text or "").encode().split(b"\n")]
 
 
-def _bits(least_len: int, n_bits: int):
-    per = n_bits // SEGMENTS
+def _long(k: bytes, least_len: int) -> bool:
+    return len(k) >= least_len and (least_len < 2 or len(k.decode()) >= least_len)
+
 
+def _bits(least_len: int, n_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
 
         def rows() -> pa.RecordBatch:
             at, n = np.unique(np.array(held, np.uint64) % np.uint64(n_bits), return_counts=True)
-            seg = (at // np.uint64(per)).astype(np.int32)
-            cut = np.searchsorted(seg, np.arange(SEGMENTS + 1))
-            low = (at % np.uint64(per)).astype(np.uint32)
-            parts = [(s, low[a:b], n[a:b] > 1) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            seg = (at // np.uint64(SEGMENT)).astype(np.int64)
+            own, cut = np.unique(seg, return_index=True)
+            low, cut = (at % np.uint64(SEGMENT)).astype(np.uint32), np.append(cut, len(seg))
+            parts = [(low[a:b].tobytes(), low[a:b][n[a:b] > 1].tobytes()) for a, b in zip(cut, cut[1:])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([p[1][p[2]].tobytes() for p in parts], pa.binary())], ["seg", "once", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array([p[j] for p in parts], pa.binary()) for j in (0, 1))], ["seg", "once", "twice"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                held += [xxhash.xxh3_64_intdigest(k) for k in set(keys_of(t)) if len(k) >= least_len]
+                held += [xxhash.xxh3_64_intdigest(k) for k in set(keys_of(t)) if _long(k, least_len)]
                 if len(held) > 2_000_000:
                     yield rows()
         if held:
@@ -67,44 +71,37 @@ def _bits(least_len: int, n_bits: int):
     return run
 
 
-def _merge(n_bits: int):
-    per = n_bits // SEGMENTS
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment to each segment's twice-seen bits."""
+    now, once, twice = None, None, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = None, None, None
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
-
-        for b in batches:
-            for s, o, t in zip(*(c.to_pylist() for c in b.columns)):
-                if s != now:
-                    if now is not None:
-                        yield out()
-                    now, once, twice = s, np.zeros(per, bool), np.zeros(per, bool)
-                o, t = np.frombuffer(o, np.uint32), np.frombuffer(t, np.uint32)
-                twice[o[once[o]]] = True
-                once[o] = True
-                twice[t] = True
-        if now is not None:
-            yield out()
+    def out():
+        at = np.flatnonzero(twice)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([at.astype(np.uint32).tobytes()], pa.binary())], ["seg", "n", "bits"])
 
-    return run
+    for b in batches:
+        for s, o, t in zip(*(c.to_pylist() for c in b.columns)):
+            if s != now:
+                if now is not None:
+                    yield out()
+                now, once, twice = s, np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
+            o, t = np.frombuffer(o, np.uint32), np.frombuffer(t, np.uint32)
+            twice[o[once[o]]] = True
+            once[o] = True
+            twice[t] = True
+    if now is not None:
+        yield out()
 
 
-def twice_seen(docs: DataFrame, text: str, least_len: int) -> tuple[np.ndarray, int]:
-    """The twice-seen filter as packed bits. Its size follows the input up to MOST_BITS."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+def twice_seen(docs: DataFrame, text: str, least_len: int) -> tuple[DataFrame, int]:
+    """The twice-seen bits as a written table (seg, n, bits), and the filter's size, which follows the input."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     n_bits = LEAST_BITS
-    while n_bits < min(MOST_BITS, size * BITS_PER_BYTE):
+    while n_bits < size * BITS_PER_BYTE:
         n_bits *= 2
-    sent = docs.select(text).mapInArrow(_bits(least_len, n_bits), "seg int, once binary, twice binary")
-    merged = sent.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merge(n_bits), "seg int, bits binary")
-    out = np.zeros(n_bits // 8, np.uint8)
-    per = n_bits // SEGMENTS // 8
-    for seg, bits in merged.collect():  # at most MOST_BITS bits
-        out[seg * per : (seg + 1) * per] = np.frombuffer(bits, np.uint8)
-    return out, n_bits
+    sent = docs.select(F.col(f"`{text}`")).mapInArrow(_bits(least_len, n_bits), "seg long, once binary, twice binary")
+    merged = sent.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merge, "seg long, n long, bits binary")
+    return written(merged, "bits"), n_bits
 
 
 def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int = 1, order: str | None = None, row: str | None = None) -> DataFrame:
@@ -116,27 +113,36 @@ def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int
     spark = docs.sparkSession
     small_batches(spark)
     bits, n_bits = twice_seen(docs, text, least_len)
-    filter_ = spark.sparkContext.broadcast(bits)
+    few = (bits.agg(F.sum("n")).first()[0] or 0) <= MOST_SUSPECTS
+    if few:
+        places = [np.frombuffer(b, np.uint32).astype(np.uint64) + np.uint64(seg * SEGMENT) for seg, b in bits.select("seg", "bits").toLocalIterator()]
+        filter_ = spark.sparkContext.broadcast(np.sort(np.concatenate(places)) if places else np.zeros(0, np.uint64))
+    else:
+        filter_ = spark.sparkContext.broadcast(None)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, held = filter_.value, {}
+        known, held = filter_.value, {}
 
         def rows():
             keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([held[k][j] for k in keys], pa.int64()) for j in range(5))], ["key", "n", "none", "at", "h", "row"])
+            at = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64) % np.uint64(n_bits)
+            out = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(keys, pa.binary()), *(pa.array([held[k][j] for k in keys], pa.int64()) for j in range(5))], ["bit", "key", "n", "none", "at", "h", "row"])
             held.clear()
             return out
 
         for b in batches:
-            for none, i, x, r, t in zip(*(c.to_pylist() for c in b.columns)):
-                mine = (none, i, x, r)
-                for k in set(keys_of(t)):
-                    if len(k) < least_len:
-                        continue
-                    h = xxhash.xxh3_64_intdigest(k) % n_bits
-                    if bloom[h >> 3] >> (h & 7) & 1:
-                        n, *first = held.get(k, (0, *mine))
-                        held[k] = n + 1, *min(tuple(first), mine)
+            keys, of, own = [], [], list(zip(*(c.to_pylist() for c in b.columns[:4])))
+            for i, t in enumerate(b.column(4).to_pylist()):
+                mine = [k for k in set(keys_of(t)) if _long(k, least_len)]
+                keys += mine
+                of += [i] * len(mine)
+            hit = range(len(keys))
+            if known is not None:
+                at = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64) % np.uint64(n_bits)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, at), len(known) - 1)] == at).tolist() if len(known) else []
+            for j in hit:
+                n, *first = held.get(keys[j], (0, *own[of[j]]))
+                held[keys[j]] = n + 1, *min(tuple(first), own[of[j]])
                 if len(held) > HELD:
                     yield rows()
         if held:
@@ -144,11 +150,28 @@ def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int
 
     t, at, zero = F.col(f"`{text}`"), F.col(f"`{order}`").cast("long") if order else F.lit(0), F.lit(0).cast("long")
     place = (at.isNull().cast("long"), F.coalesce(at, zero), F.xxhash64(F.coalesce(t, F.lit(""))), F.col(f"`{row}`")) if order else (zero,) * 4
-    counted = docs.select(*(c.alias(x) for c, x in zip(place, ("none", "at", "h", "row"))), t.alias("text")).mapInArrow(suspects, "key binary, n long, none long, at long, h long, row long")
+    counted = docs.select(*(c.alias(x) for c, x in zip(place, ("none", "at", "h", "row"))), t.alias("text")).mapInArrow(suspects, "bit long, key binary, n long, none long, at long, h long, row long")
+    if not few:
+        counted = counted.join(bits.mapInArrow(_places, "bit long"), "bit", "left_semi")
     first = F.min(F.struct("none", "at", "h", "row"))["row"] if order else F.first(F.lit(None).cast("long"))
     return counted.groupBy("key").agg(F.sum("n").alias("n"), first.alias("first_row")).where(F.col("n") >= least)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for seg, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.uint32).astype(np.int64) + seg * SEGMENT)], ["bit"])
+
+
+def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(me, text) to (me, key) for each of its distinct keys."""
+    for b in batches:
+        for me, t in zip(*(c.to_pylist() for c in b.columns)):
+            keys = [k for k in set(keys_of(t)) if k]
+            for i in range(0, len(keys), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array([me] * len(keys[i : i + HELD]), pa.int64()), pa.array(keys[i : i + HELD], pa.binary())], ["me", "key"])
+
+
 OUT = "n_lines long, n_dropped long, kept string"
 
 
@@ -161,31 +184,30 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
     equal texts one. Null and empty texts are one empty line. Existing columns of the three names
     are replaced; all others stay. With ``keep_first`` the rows are written with a number first."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
+    row, at_, hot_, me_, text_ = fresh(docs, "_row", "_at", "_hot", "_me", "_text")
     if keep_first:
-        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    hot = written(repeats(docs, text, least, least_len, *((order, "_row") if keep_first else ())), "lines")
+        docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hot = written(repeats(docs, text, least, least_len, *((order, row) if keep_first else ())), "lines")
     few = hot.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    at = F.col("_row") if keep_first else F.lit(None).cast("long")
+    at, t = F.col(row) if keep_first else F.lit(None).cast("long"), F.col(f"`{text}`")
+    own = [F.col(f"`{c}`") for c in names]
     if few:
         found = spark.sparkContext.broadcast({(r.key if len(r.key) < 16 else hashlib.blake2b(r.key, digest_size=16).digest()): r.first_row for r in hot.toLocalIterator()})
-        own = F.lit(None).cast("array<struct<key:binary,first_row:bigint>>")
-        rows = docs.select(*(F.col(f"`{c}`") for c in names), at.alias("_at"), own.alias("_hot"))
+        rows = docs.select(*own, at.alias(at_), F.lit(None).cast("array<struct<key:binary,first_row:bigint>>").alias(hot_), t.alias(text_))
     else:
-        # each row's repeats come to it by a join on the keys, and by a second one on the row's own hash
+        # each text's repeats come to it by a join on the keys, and by a second one on the text's own hash (equal texts share them)
         found = spark.sparkContext.broadcast(None)
-        me = F.xxhash64(F.col(f"`{text}`"))
-        line = F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), "\n")))
-        key = F.encode(F.translate(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8")
-        pairs = docs.select(me.alias("_me"), line.alias("line")).select("_me", key.alias("key")).distinct().join(hot, "key")
-        lists = pairs.groupBy("_me").agg(F.collect_list(F.struct("key", "first_row")).alias("_hot"))
-        rows = docs.withColumn("_me", me).join(lists, "_me", "left").select(*(F.col(f"`{c}`") for c in names), at.alias("_at"), "_hot")
+        me = F.xxhash64(t)
+        pairs = docs.where(t.isNotNull()).select(me.alias("me"), t).mapInArrow(_own_keys, "me long, key binary").distinct().join(hot, "key")
+        lists = pairs.groupBy("me").agg(F.collect_list(F.struct("key", "first_row")).alias(hot_)).withColumnRenamed("me", me_)
+        rows = docs.withColumn(me_, me).join(lists, me_, "left").select(*own, at.alias(at_), hot_, t.alias(text_))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen_here = found.value, object()
         for b in batches:
             n_lines, n_dropped, kept = [], [], []
-            for t, i, own in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "_at", "_hot"))):
+            for i, own, t in zip(*(c.to_pylist() for c in b.columns[-3:])):
                 drop = known if known is not None else {(x["key"] if len(x["key"]) < 16 else hashlib.blake2b(x["key"], digest_size=16).digest()): x["first_row"] for x in own or ()}
                 lines, keys, seen = (t or "").split("\n"), keys_of(t), set()
                 stay = []
@@ -197,7 +219,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 kept.append("\n".join(stay))
-            columns = [b.column(b.schema.get_field_index(c)) for c in names]
+            columns = b.columns[:-3]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "n_lines", "n_dropped", "kept"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), OUT])
