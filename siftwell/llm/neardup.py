@@ -25,15 +25,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.textbatch import mix, shingles, small_batches, text_bytes, text_hash, word_hashes, written
+from siftwell.llm.textbatch import fresh, mix, shingles, small_batches, text_bytes, text_hash, word_hashes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 WORDS, SIMILAR = 5, 0.8
-#: Texts of a block in round 2, and of ids that are broadcast (16 bytes each).
-BLOCK, MOST_IDS = 128, 1_000_000
+#: Texts of a block in round 2, and of ids that are broadcast (32 bytes each).
+BLOCK, MOST_IDS = 128, 500_000
 #: A signature's share of equal registers below which a pair cannot reach SIMILAR (over 6 standard errors).
 HOPELESS = SIMILAR - 0.24
 
@@ -93,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = sig.any(1)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(bands(sig).ravel()), BANDS).cast(pa.list_(pa.int64()))
         lists = pa.compute.if_else(pa.array(some), lists, pa.array([[]] * len(sig), pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["doc_id", "t", "t2", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["doc_id", "h", "h2", "bands"])
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t, comp, class_id, n_copies) for each row: class_id is the smallest key of the class, comp its smallest text hash.
+    """(doc_id, h, h2, comp, class_id, n_copies) for each row: class_id is the smallest key of the class, comp a number of its own, h and h2 hashes of the text.
 
     Texts are near duplicates if the multisets of their five-word shingles overlap by 0.8 or more
     (fewer than five words: one shingle of all); classes are the components of such links. Equal
@@ -174,14 +174,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     small_batches(spark)
     t, t2 = text_hash(text)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), t.alias("t"), t2.alias("t2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sketch = written(rows.mapInArrow(_sketch, "doc_id long, t long, t2 long, bands array<bigint>"), "sketch")
-    distinct = sketch.groupBy("t").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    buckets = written(distinct.select("t", "rep", F.explode("bands").alias("bucket")).withColumn("n", F.count("*").over(_by("bucket"))).withColumn("least", F.min("t").over(_by("bucket"))).where("n > 1"), "buckets")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), t.alias("h"), t2.alias("h2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sketch = written(rows.mapInArrow(_sketch, "doc_id long, h long, h2 long, bands array<bigint>"), "sketch")
+    # both hashes tell texts apart (128 bits); t is a number for each text, fixed as the table is written
+    distinct = sketch.groupBy("h", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    distinct = written(distinct.withColumn("t", F.monotonically_increasing_id()), "distinct")
+    buckets = written(distinct.select("t", F.explode("bands").alias("bucket")).withColumn("n", F.count("*").over(_by("bucket"))).withColumn("least", F.min("t").over(_by("bucket"))).where("n > 1"), "buckets")
     texts_of = lambda ids: _texts(rows, ids)
     pairs = buckets.where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    ids = written(buckets.select("t", "rep").distinct(), "ids")
+    ids = written(buckets.select("t").distinct().join(distinct.select("t", "h", "h2", "rep"), "t"), "ids")
     texts = written(texts_of(ids), "texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
@@ -194,11 +196,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     dealt = mixed.select("bucket", "t", "comp", blk.alias("blk"), F.explode(F.sequence(F.lit(0), nblk - 1)).alias("o")).select("bucket", "t", "comp", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
     more = dealt.join(texts, "t").groupBy("bucket", "x", "y").applyInPandas(_within, "a long, b long")
     comp = components(links.union(written(more, "links2")))
-    named = sketch.join(comp, "t", "left").select("doc_id", "t", F.coalesce("comp", "t").alias("comp"))
+    placed = distinct.select("h", "h2", "t").join(comp, "t", "left").select("h", "h2", F.coalesce("comp", "t").alias("comp"))
+    named = sketch.select("doc_id", "h", "h2").join(placed, ["h", "h2"])
     classes = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    copies = named.groupBy("doc_id", "t", "comp").agg(F.count("*").alias("n_copies"))
-    one = copies.join(classes, "comp").select("doc_id", "t", "comp", "class_id", "n_copies")
-    return one.select("doc_id", "t", "comp", "class_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_")).drop("_")
+    copies = named.groupBy("doc_id", "h", "h2", "comp").agg(F.count("*").alias("n_copies"))
+    one = copies.join(classes, "comp")
+    return one.select("doc_id", "h", "h2", "comp", "class_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_")).drop("_")
 
 
 def _by(name: str):
@@ -210,9 +213,9 @@ def _by(name: str):
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(t, text) of the texts in ``ids``, each once; read from the row with the smallest key."""
     few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    wanted = ids.select(F.col("t").alias("_t"), F.col("rep").alias("_rep"))
+    wanted = ids.select("t", F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.col("rep").alias("_rep"))
     wanted = F.broadcast(wanted) if few else wanted
-    return rows.join(wanted, (rows.t == F.col("_t")) & rows.doc_id.eqNullSafe(F.col("_rep"))).select("t", "text").dropDuplicates(["t"])
+    return rows.join(wanted, (rows.h == F.col("_h")) & (rows.h2 == F.col("_h2")) & rows.doc_id.eqNullSafe(F.col("_rep"))).select("t", "text").dropDuplicates(["t"])
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -220,15 +223,17 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row with the smallest doc_id (nulls last, then the smallest text hash), once. Columns as they are."""
+    """The rows of ``docs`` that stay: of each class the row with the smallest doc_id (nulls last, then the smallest text hash), once. Columns as they are, whatever their names."""
     classes = written(near_classes(docs), "classes")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n_copies")).alias("least")
-    kept = classes.groupBy("comp").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.t").alias("_t"), F.col("least.n_copies").alias("n"))
-    t = text_hash("text")[0]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "h2", "n_copies")).alias("least")
+    id_, h_, h2_, n_ = fresh(docs, "_id", "_h", "_h2", "_n")
+    kept = classes.groupBy("comp").agg(least).select(*(F.col(f"least.{c}").alias(x) for c, x in (("doc_id", id_), ("h", h_), ("h2", h2_), ("n_copies", n_))))
+    t, t2 = text_hash("text")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(kept.where("n = 1"), F.col("doc_id").eqNullSafe(F.col("_id")) & (t == F.col("_t"))).select(*names)
-    repeated = kept.where("n > 1")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (t == F.col(h_)) & (t2 == F.col(h2_))
+    single = docs.join(kept.where(F.col(n_) == 1), same).select(*names)
+    repeated = kept.where(F.col(n_) > 1)
     if not repeated.limit(1).count():
         return single
-    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (t == F.col("_t"))).dropDuplicates(["_id", "_t"]).select(*names)
+    again = docs.join(repeated, same).dropDuplicates([id_, h_, h2_]).select(*names)
     return single.union(again)
