@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1024
 PIECE = 1 << 19
+#: Rows that are sampled for each block's bounds (three numbers each, on the driver).
+SAMPLED = 100
 #: Offsets in the window of each triplet.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -62,31 +64,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def edit_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
-    """Rows (block, own, key, text) sorted so that each row's successor in descending key follows it.
+    """Rows (block, own, key, text), a partition for each block, sorted so that each row's successor in descending key follows it.
 
-    Blocks end at keys that exist (quantiles; as many numbers as blocks come to the driver). The row
-    at a block's lower bound goes to the block as well, as the last row's successor (own = 1), and the
-    greatest row to the lowest block. Null keys come last; ties go by text, descending."""
+    Null keys come last; ties go by a hash of the text, descending. Blocks end at rows that exist, taken from
+    a random sample of SAMPLED rows a block so that blocks have as many bytes; rows of one key are split
+    where their texts differ. The row at a block's lower bound goes to the block as well, as the last
+    row's successor (own = 1), and the greatest row to the lowest block."""
     spark = docs.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(2**63) + 1
-    k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(low))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), k.alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("k", F.lit([i / n for i in range(1, n)] or [0.5]), F.lit(max(10_000, 20 * n))).alias("q"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    if cuts.lo is None:
-        return rows.select(F.lit(0).alias("block"), F.lit(0).alias("own"), "key", "k", "text")
-    bounds = sorted({c for c in cuts.q if cuts.lo < c < cuts.hi})
-    array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    block = F.size(F.filter(array, lambda b: b < F.col("k")))
-    own = F.array(F.struct(block.alias("block"), F.lit(0).alias("own")))
-    next_ = F.when(F.array_contains(array, F.col("k")), F.array(F.struct((block + 1).alias("block"), F.lit(1).alias("own")))).otherwise(F.array().cast("array<struct<block:int,own:int>>"))
-    wrap = F.when(F.col("k") == cuts.hi, F.array(F.struct(F.lit(0).alias("block"), F.lit(1).alias("own")))).otherwise(F.array().cast("array<struct<block:int,own:int>>"))
-    dealt = rows.select("key", "k", "text", F.explode(F.concat(own, next_, wrap)).alias("x")).select("x.block", "x.own", "key", "k", "text")
-    return dealt.repartition(n, "block").sortWithinPartitions("block", "own", F.desc("k"), F.desc("text"))
+    k, t = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(low)), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.struct(k.alias("k"), F.xxhash64(t).alias("h")).alias("x"), t.alias("text"))
+    all_ = rows.agg(F.count("*").alias("n"), F.max("x").alias("hi")).first()
+    if not all_.n:
+        return rows.select(F.lit(0).alias("block"), F.lit(0).alias("own"), "key", "text")
+    some = rows.where(F.rand(7) < SAMPLED * n / all_.n).select("x.k", "x.h", F.octet_length("text").alias("size")).collect()
+    bounds, mass, total = [], 0, sum(r.size + 100 for r in some)
+    for r in sorted(some):
+        mass += r.size + 100
+        if mass >= total * (len(bounds) + 1) / n and (r.k, r.h) < tuple(all_.hi) and (not bounds or bounds[-1] < (r.k, r.h)):
+            bounds.append((r.k, r.h))
+    kind, w = "array<struct<k:bigint,h:bigint>>", math.isqrt(len(bounds)) + 1
+    array = lambda xs: F.array(*(F.struct(F.lit(a).cast("long").alias("k"), F.lit(b).cast("long").alias("h")) for a, b in xs)).cast(kind)
+    fine, coarse, x = array(bounds), array(bounds[::w]), F.col("x")
+    below = lambda a: F.size(F.filter(a, lambda b: b < x))
+    rows = rows.select("*", below(coarse).alias("c"))  # the number of bounds below a row, in two steps of their square root
+    rows = rows.select("key", "x", "text", F.when(F.col("c") == 0, F.lit(0)).otherwise((F.col("c") - 1) * w + below(F.slice(fine, F.greatest(F.col("c") - 1, F.lit(0)) * w + 1, w))).alias("block"))
+    to = lambda block, own: F.array(F.struct(block.cast("int").alias("block"), F.lit(own).alias("own")))
+    none = F.array().cast("array<struct<block:int,own:int>>")
+    hi = F.struct(F.lit(all_.hi.k).cast("long").alias("k"), F.lit(all_.hi.h).cast("long").alias("h"))
+    next_ = F.when(F.coalesce(F.get(fine, F.col("block")) == x, F.lit(False)), to(F.col("block") + 1, 1)).otherwise(none)
+    wrap = F.when(x == hi, to(F.lit(0), 1)).otherwise(none)
+    dealt = rows.select("key", "x", "text", F.explode_outer(F.concat(to(F.col("block"), 0), next_, wrap)).alias("to")).select("to.block", "to.own", "key", "x", "text")
+    return dealt.repartitionById(len(bounds) + 1, "block").sortWithinPartitions("block", "own", F.desc("x")).select("block", "own", "key", "text")
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness, by the contract."""
+    """Fingerprints of each text and its edited text, and their likeness, by the contract.
+
+    Null texts are empty. Null ids stay null and come last; rows of one id follow one another by a hash
+    of their texts, and repeated rows each have a row. Other columns are not read; the empty table gives no
+    rows; texts of any length are digested piece by piece."""
     import hashlib
 
     small_batches(docs.sparkSession)
@@ -110,4 +128,4 @@ def op1(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
 
-    return edit_pairs(docs).select("block", "own", "key", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return edit_pairs(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
