@@ -1,12 +1,12 @@
 """Secret scans with a trigram index, in DataFrame functions only.
 
 Every rule is a regular expression. :func:`siftwell.llm.trigrams.derive` turns it into a
-Boolean query over trigrams. The index of a document is its posting bits: one bit for each
-trigram that any rule asks for, set if the lower-cased text holds it. The bits stay with
-their row (the index is partitioned by document), so intersecting postings is a bitwise AND
-and neither texts nor postings are shuffled. Only rows whose bits satisfy a rule's query are
-searched for the rule itself; rules without a mandatory trigram scan every row.
-:func:`postings` gives the same index as (trigram, document) rows for keeping.
+Boolean query over trigrams. :func:`index` writes the inverted index: postings (trigram, text) of
+the trigrams that any rule asks for, a text being named by its hash. :func:`candidates` reads the
+postings of a query's trigrams and intersects them by text. Texts that satisfy a rule's query are
+searched for the rule itself; rules without a mandatory trigram scan every text. Texts of equal
+hash share their candidacy, which can only add texts that the rule's own search turns down.
+Texts are not shuffled while the candidates are few (MOST_TEXTS, 16 bytes each).
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.textbatch import fresh, written
 from siftwell.llm.trigrams import Query, derive
 
 BITS = 62
+#: Candidate texts that are broadcast, at most; beyond that they are joined.
+MOST_TEXTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,17 +55,6 @@ def trigrams_of(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted(set().union(*(derive(r.pattern).trigrams() for r in rules)))
 
 
-def posting_bits(text: Column, trigrams: list[str]) -> list[Column]:
-    """Bitmaps (BITS trigrams each) of the trigrams that lower-cased ``text`` holds."""
-    out = []
-    for i in range(0, len(trigrams), BITS):
-        word = F.lit(0).cast("long")
-        for j, t in enumerate(trigrams[i : i + BITS]):
-            word = word.bitwiseOR(F.when(F.contains(text, F.lit(t)), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
-        out.append(word)
-    return out
-
-
 def satisfied(query: Query, words: list[Column], trigrams: list[str]) -> Column:
     """A Boolean query as bit tests; runs of AND become one mask per bitmap."""
     if query.kind == "all":
@@ -118,28 +110,53 @@ def found(text: Column, rule: Rule, rank: int) -> Column:
     return F.transform(F.filter(spans, lambda x: x["n"] >= rule.least), lambda x: x["span"])
 
 
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def index(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The inverted index as a written table, sorted by trigram: (trigram, h), once for each text and trigram of a rule's query that it holds."""
+    low = docs.select(text_key(text).alias("h"), F.lower(F.col(f"`{text}`")).alias("low"))
+    held = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams_of(rules))), lambda x: x.isNotNull())
+    each = low.select("h", F.explode_outer(held).alias("trigram")).where("trigram is not null").distinct()
+    return written(each.select("trigram", "h").sortWithinPartitions("trigram"), "trigrams")
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(h, rules) of each text that satisfies a rule's query; bit k of ``rules`` is rule k. Postings are joined into bits of each text, and the queries are bit tests."""
+    asked = [derive(r.pattern) for r in rules]
+    trigrams = sorted(set().union(*(q.trigrams() for q in asked)))
+    table = lambda f, kind: F.element_at(F.create_map(*(x for j, t in enumerate(trigrams) for x in (F.lit(t), F.lit(f(j)).cast(kind)))), F.col("trigram"))
+    placed = postings.where(F.col("trigram").isin(trigrams)).select("h", table(lambda j: j // BITS, "int").alias("word"), table(lambda j: 1 << j % BITS, "long").alias("bit"))
+    words = [f"w{i}" for i in range(-(-len(trigrams) // BITS))]
+    texts = placed.groupBy("h").agg(*(F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)))
+    mask = F.lit(0).cast("long")
+    for k, q in enumerate(asked):
+        if q.kind != "all":
+            mask = mask.bitwiseOR(F.when(satisfied(q, [F.col(w) for w in words], trigrams), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return texts.select("h", mask.alias("rules")).where("rules <> 0")
+
+
 def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
     """Add ``out``: an array of (start, rank, end) structs, sorted; rank is the rule's place in ``rules``.
 
     Null and empty texts have none. Columns named like the temporary ones are kept, as those
     are not selected; an ``out`` that exists already is replaced. Repeated rows are each scanned.
     A text of any length is scanned whole."""
-    trigrams = trigrams_of(rules)
+    asked = [derive(r.pattern) for r in rules]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    words = posting_bits(F.lower(t), trigrams)
-    taken = {c.lower() for c in docs.columns}
-    names = []
-    for i in range(len(words)):
-        name = f"_bits{i}"
-        while name in taken:
-            name += "_"
-        names.append(name)
+    h, mask = fresh(docs, "_h", "_rules")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
-    indexed = docs.select("*", *(w.alias(n) for w, n in zip(words, names)))
-    bits = [F.col(n) for n in names]
-    each = [F.when(satisfied(derive(r.pattern), bits, trigrams) & t.rlike(r.pattern), found(t, r, k)).otherwise(empty) for k, r in enumerate(rules)]
-    return indexed.select(*kept, F.array_sort(F.flatten(F.array(*each))).alias(out))
+    if any(q.kind != "all" for q in asked):
+        some = written(candidates(index(docs, text, rules), rules), "candidates").select(F.col("h").alias(h), F.col("rules").alias(mask))
+        few = some.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS
+        joined = docs.withColumn(h, text_key(text)).join(F.broadcast(some) if few else some, h, "left")
+    else:
+        joined = docs.withColumn(mask, F.lit(0).cast("long"))
+    may = lambda k: F.lit(True) if asked[k].kind == "all" else F.coalesce(F.col(mask).bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(False))
+    each = [F.when(may(k) & t.rlike(r.pattern), found(t, r, k)).otherwise(empty) for k, r in enumerate(rules)]
+    return joined.select(*kept, F.array_sort(F.flatten(F.array(*each))).alias(out))
 
 
 def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -148,14 +165,6 @@ def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as rows (trigram, key), for keeping it; one row for each trigram of a row, none for null texts."""
-    trigrams = trigrams_of(rules)
-    low = F.lower(F.col(f"`{text}`"))
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)), lambda x: x.isNotNull())
-    return docs.select(F.explode(held).alias("trigram"), F.col(f"`{key}`").alias("key"))
-
-
 def op10(docs: DataFrame) -> DataFrame:
     """The contract's digest of :func:`scan`: counts of the base kinds, the hash of their spans, all spans."""
     n = len(BASE)
