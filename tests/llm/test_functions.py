@@ -1,5 +1,6 @@
 """Parts of the operators against brute force, without Spark."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -95,22 +96,40 @@ def test_packing_fits_and_is_downsized():
         assert sum(final) + packing.OVERHEAD * len(final) <= alone
 
 
-def phrases(data, ref):
+def phrases(data, refs, longest=crossparse.LONGEST):
+    """Greedy factoring by brute force over lists of symbols."""
     n = i = 0
+    held = {tuple(r[a:z]) for r in refs for a in range(len(r)) for z in range(a + 1, min(len(r), a + longest) + 1)}
     while i < len(data):
         k = 1
-        while i + k <= len(data) and data[i : i + k] in ref:
+        while k < longest and i + k < len(data) and tuple(data[i : i + k + 1]) in held:
             k += 1
-        i, n = i + max(1, k - 1), n + 1
+        i, n = i + k, n + 1
     return n
 
 
 def test_cross_parsing():
     r = random.Random(7)
     for _ in range(300):
-        ref, data = (bytes(r.choice(b"abc") for _ in range(r.randrange(30))) for _ in range(2))
-        assert crossparse.cross_phrases(data, crossparse.automaton(ref)) == phrases(data, ref)
-    assert crossparse.own_phrases(b"aababcabcd") == 4 and crossparse.entropy(0, 0, 0) == (0.0, 0.0)
+        ref, data = ([r.choice(b"abc") for _ in range(r.randrange(60))] for _ in range(2))
+        assert crossparse.cross_phrases(data, crossparse.automaton(ref)) == phrases(data, [ref])
+    assert crossparse.own_phrases(list(b"aababcabcd")) == 4 and crossparse.entropy(0, 0, 0) == (0.0, 0.0)
+    assert crossparse.entropy(8, 3, 4) == (3 * math.log2(9) / 8, (3 * math.log2(9) - 4 * 2) / 8)
+
+
+def test_match_lengths():
+    r, size = random.Random(9), crossparse.LONGEST
+    for _ in range(100):
+        texts = [[r.randrange(1, 4) for _ in range(r.randrange(1, 40))] for _ in range(4)]
+        texts.append(texts[0] * 2)
+        places = [(d, i) for d, t in enumerate(texts) for i in range(len(t))]
+        tails = np.zeros((len(places), size), np.uint32)
+        for row, (d, i) in zip(tails, places):
+            row[: len(texts[d][i : i + size])] = texts[d][i : i + size]
+        got = crossparse.match_lengths(lambda at, d: tails[at, d : d + crossparse.STEP], np.array([d for d, _ in places]))
+        for (d, i), n in zip(places, got):
+            held = [[x == y != 0 for x, y in zip(tails[j], tails[places.index((d, i))])] for j, (e, _) in enumerate(places) if e != d]
+            assert n == max((x + [False]).index(False) for x in held)
 
 
 def test_tokens_match_the_library():
@@ -138,16 +157,104 @@ def test_digests():
     fingerprints.PIECE = old
 
 
-def test_network_learns_and_covers_the_end():
+def test_network_learns_and_covers_every_byte():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     good = [" ".join(word() for _ in range(40)).encode() for _ in range(60)]
     bad = [" ".join(word() + "###" for _ in range(40)).encode() for _ in range(60)]
     m = quality.fit(bad[:40] + good[:40], [0] * 40 + [1] * 40, 0.5)
     assert sum(quality.probability(t, m) >= 0.5 for t in good[40:]) >= 18 and sum(quality.probability(t, m) < 0.5 for t in bad[40:]) >= 18
-    assert quality.features(good[0] * 50, m).shape == (2 * quality.FILTERS,) and quality.probability(b"", m) >= 0
-    assert sum(len(c) for c in quality.chunks(b"x" * 5000)) >= 5000
-    assert (quality.features(good[0] * 20 + bad[0], m) != quality.features(good[0] * 20, m)).any()
+    m.table = r_table = np.random.Generator(np.random.PCG64(1)).normal(0, 1, m.table.shape).astype(np.float32)
+    for n in (0, 1, 5, 6, 7, 8, 100, 101, 767, 768, 769, 770, 1531, 1532, 4000):
+        data = bytes(r.randrange(1, 256) for _ in range(n))
+        # by brute force: windows at every place of every chunk
+        step, size = quality.CHUNK - quality.OVERLAP, quality.CHUNK
+        parts = [data[i : i + size] for i in range(0, max(1, n - quality.OVERLAP), step)] if n >= 6 else [data + bytes(6 - n)]
+        tops = [[max(max(m.bias[f] + sum(r_table[o, c[p + o], f] for o in range(6)) for p in range(len(c) - 5)), 0) for f in range(3)] for c in parts]
+        want = np.array(tops)
+        got = quality.features(data, m)
+        assert np.allclose(got[:3], want.mean(0), atol=1e-4) and np.allclose(got[quality.FILTERS : quality.FILTERS + 3], want.max(0), atol=1e-4)
+        for at in {0, n - 1, n - 2, n - 3} & set(range(n)):  # each byte is in a window
+            assert any(at >= i + p and at < i + p + 6 for k, c in enumerate(quality.chunks(data)) for i in [k * step] for p in range(len(c) - 5))
+
+
+def naive_digest(data):
+    counts = [0] * fingerprints.BUCKETS
+    for k, (i, j, m) in enumerate(fingerprints.TRIPLETS):
+        for at in range(len(data) - m):
+            h = sum(int(fingerprints.TABLES[t][data[at + o]]) for t, o in enumerate((i, j, m))) % 2**32
+            counts[h * (0x9E3779B1 + 2 * k) % 2**32 >> 22] += 1
+    order = sorted(counts)
+    cuts = [order[len(order) * q // 4] for q in (1, 2, 3)]
+    return [min(255, int(8 * math.log2(len(data) + 1))), *(sum(c > q for q in cuts) for c in counts)]
+
+
+def test_digests_by_brute_force():
+    r = random.Random(6)
+    some = [bytes(r.randrange(97, 110) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 90, 700)]
+    for x in some:
+        assert fingerprints.digest(x).tolist() == naive_digest(x)
+    for x in some:
+        for y in some:
+            a, b = naive_digest(x), naive_digest(y)
+            body, head = sum(abs(p - q) for p, q in zip(a[1:], b[1:])) / (3 * fingerprints.BUCKETS), abs(a[0] - b[0]) / 64
+            assert fingerprints.likeness(fingerprints.digest(x), fingerprints.digest(y)) == pytest.approx(max(0, 1 - 0.95 * min(1, 2 * body) - 0.05 * min(1, head)))
+
+
+def naive_best_fit(sizes, caps, overhead, open_size):
+    """Best fit by looking at every bin; (cost, bins)."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] - b[1] >= s]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += s
+        else:
+            bins.append([min((c for c in caps if c >= max(s, open_size)), default=max(caps)), s])
+    final = [min(c for c in caps if c >= used) for _, used in bins]
+    return sum(final) + overhead * len(final)
+
+
+def least_cost(sizes, caps, overhead):
+    """The cheapest packing of all, by trying every one."""
+    best = [10**9]
+
+    def place(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(min(c for c in caps if c >= b) + overhead for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + sizes[i] <= max(caps):
+                bins[j] += sizes[i]
+                place(i + 1, bins)
+                bins[j] -= sizes[i]
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_by_brute_force():
+    r, caps = random.Random(8), (8, 16, 32)
+    total, least = 0, 0
+    for _ in range(150):
+        sizes = [r.randrange(1, 33) for _ in range(r.randrange(1, 8))]
+        place, final = packing.pack(sizes, caps, 2)
+        cost = sum(final) + 2 * len(final)
+        assert least_cost(sizes, caps, 2) <= cost <= min(naive_best_fit(sizes, caps, 2, c) for c in caps)
+        total, least = total + cost, least + least_cost(sizes, caps, 2)
+    assert total <= 1.02 * least
+    left = packing.Remaining([5, 5, 5, 3, 2], 16)
+    left.count[5] -= 1
+    assert left.filled(5, 16) == 15 and left.filled(5, 7) == 7 and left.largest(4) == 3 and left.largest(1) == 0
+
+
+def test_tiles_of_repetitive_texts():
+    import time
+
+    began = time.time()
+    assert tiling.tiles([1] * 100, [1] * 20_000, 4) == [(0, 0, 100)]
+    assert sum(n for *_, n in tiling.tiles([1, 2] * 50, [1, 2, 1] * 3000, 3)) == sum(n for *_, n in brute_tiles([1, 2] * 50, [1, 2, 1] * 50, 3))
+    assert time.time() - began < 20
 
 
 @pytest.mark.parametrize("pattern, hit", [(r"(?i)(token|api_?key)=[a-z]+", "xx API_KEY=abc"), (r"AKIA[A-Z0-9]+", "AKIA1"), (r"[0-9a-f]{32,}", "0" * 32), (r"xox[abp]-[0-9]{10,}", "xoxb-1234567890"), (r"(foo|bar)+baz?", "foobarba")])
