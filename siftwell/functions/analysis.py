@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_FIELD = "message"
 MIN_TOKEN = 2
-TOKEN = r"[\p{L}\p{Nd}]+"
+#: What separates tokens: splitting there is several times faster than finding each token.
+BETWEEN = r"[^\p{L}\p{Nd}]+"
 
 
 def lower(text: Column) -> Column:
@@ -19,7 +20,7 @@ def lower(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """All tokens in order; a token's place in the array is its position."""
-    return F.regexp_extract_all(lower(text), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(lower(text), BETWEEN), "")
 
 
 def placed(text: str) -> list[tuple[int, str]]:

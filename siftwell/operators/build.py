@@ -1,4 +1,9 @@
-"""Index build: documents to postings and dictionary, renumbering, merge, checks."""
+"""Index build: documents to postings and dictionary, renumbering, merge, checks.
+
+Nothing here puts all postings of a key, or all documents of a segment, into one task: windows are
+partitioned by blocks of BLOCK documents as well, and what passes from block to block is
+computed from one small row for each of them.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,33 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import positions
 
+#: Documents of a block.
+BLOCK = 1 << 16
+
+
+def block(name: str = "doc"):
+    return F.floor(F.col(name) / BLOCK).cast("long")
+
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id columns, key, pos, tf): positions of each key in each document, ascending. One shuffle, on the document and key."""
+    """(id columns, key, pos, tf): positions of each key in each document, ascending.
+
+    The documents are dealt by their ids once, as texts; a document's tokens then stay in its task."""
     ids = [c for c in docs.columns if c not in ("fields", "_id")]
-    keyed = positions(docs).select(*ids, F.concat("field", F.lit(":"), "term").alias("key"), "pos")
+    keyed = positions(docs.repartition(*ids)).select(*ids, F.concat("field", F.lit(":"), "term").alias("key"), "pos")
     return keyed.groupBy(*ids, "key").agg(F.sort_array(F.collect_list("pos")).alias("pos")).withColumn("tf", F.size("pos").cast("long"))
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
-    """(seg, key, df, cf), and the encoded size of each postings list."""
-    by = Window.partitionBy("seg", "key").orderBy("doc")
-    size = encoded(posts.withColumn("delta", F.col("doc") - F.coalesce(F.lag("doc").over(by), F.lit(0).cast("long"))))
-    out = size.groupBy("seg", "key").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("bytes").alias("b"))
+    """(seg, key, df, cf), and the encoded size of each postings list.
+
+    Documents' deltas are taken inside blocks; a block's first delta follows from the last document of the block before."""
+    by = Window.partitionBy("seg", "key", "b").orderBy("doc")
+    size = encoded(posts.withColumn("b", block()).withColumn("delta", F.col("doc") - F.lag("doc").over(by)))
+    one = size.groupBy("seg", "key", "b").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("bytes").alias("bytes"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("seg", "key").orderBy("b"))  # a row for each block
+    whole = one.withColumn("bytes", F.col("bytes") + varint(F.col("first") - F.coalesce(before, F.lit(0).cast("long"))))
+    out = whole.groupBy("seg", "key").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("bytes").alias("b"))
     return out.select("seg", "key", "df", "cf", (varint("df") + F.col("b")).alias("encoded_len"))
 
 
@@ -35,42 +54,43 @@ def deltas(pos):
 
 
 def encoded(posts: DataFrame) -> DataFrame:
-    """Add ``bytes``, what (delta, frequency, position deltas) take as varints; needs ``delta``."""
+    """Add ``bytes``, what (delta, frequency, position deltas) take as varints; needs ``delta``, which takes none where null."""
     body = F.aggregate(deltas(F.col("pos")), F.lit(0).cast("long"), lambda s, v: s + varint(v))
-    return posts.withColumn("bytes", varint("delta") + varint("tf") + body)
+    return posts.withColumn("bytes", F.when(F.col("delta").isNull(), F.lit(0)).otherwise(varint("delta")) + varint("tf") + body)
+
 
+def renumber(docs: DataFrame, order: str, group: str | None = None) -> DataFrame:
+    """Add ``new_doc``, 0..n-1 in the order of ``group``, then ``order`` (both whole numbers).
 
-def renumber(docs: DataFrame, order: list[str], partition: list[str] | None = None) -> DataFrame:
-    """Add ``new_doc``, 0..n-1 in ``order``. Without ``partition``, counts of hashed ranges give each range its offset, so no task sorts everything."""
-    if partition:
-        return docs.withColumn("new_doc", (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = order[0]
-    cuts = docs.agg(F.percentile_approx(F.col(first).cast("double"), F.lit([i / n for i in range(1, n)] or [0.5]), F.lit(10_000)).alias("q")).first().q or []
-    bounds = F.array(*(F.lit(float(b)) for b in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    ranged = docs.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col(first).cast("double"))))
-    counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))  # one row for each range
-    offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1)
-    return local.join(F.broadcast(offsets), "_r").withColumn("new_doc", (F.col("_k") + F.col("_o")).cast("long")).drop("_r", "_k", "_o")
+    Rows are counted by blocks of ``order``; the counts give each block its offset, so no task sorts
+    more than a block. Ties are numbered in any order."""
+    by = ["_g", "_b"]
+    placed = docs.withColumn("_g", F.col(group).cast("long") if group else F.lit(0).cast("long")).withColumn("_b", block(order))
+    counts = placed.groupBy(*by).agg(F.count("*").alias("_n"))  # a row for each block
+    offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    local = placed.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    return local.join(offsets, by).withColumn("new_doc", (F.col("_k") + F.col("_o")).cast("long")).drop(*by, "_k", "_o")
 
 
 def integrity(posts: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row of violation counts: documents out of order, positions out of order, documents that don't exist."""
-    by = Window.partitionBy("seg", "key").orderBy("doc")
-    bad_doc = posts.withColumn("p", F.lag("doc").over(by)).select(F.coalesce(F.sum(F.when(F.col("doc") <= F.col("p"), 1).otherwise(0)), F.lit(0)).cast("long").alias("doc_order"))
+    """One row of violation counts: documents of a key out of order or twice, positions out of order, documents that don't exist.
+
+    Rows have no order of their own: a document that a key has twice is the violation that can be stored."""
+    twice = posts.groupBy("seg", "key", "doc").agg(F.count("*").alias("n"))
+    bad_doc = twice.select(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("doc_order"))
     rising = F.forall(F.transform(F.col("pos"), lambda p, i: (i == 0) | (p > F.get(F.col("pos"), i - 1))), lambda x: x)
     bad_pos = posts.select(F.coalesce(F.sum(F.when(rising, 0).otherwise(1)), F.lit(0)).cast("long").alias("pos_order"))
     orphan = posts.join(docs.select("seg", "doc"), ["seg", "doc"], "left_anti").select(F.count("*").alias("orphans"))
     return bad_doc.crossJoin(bad_pos).crossJoin(orphan)  # three single rows
 
 
-def merge(docs: DataFrame, posts: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Live documents of all segments with fresh ids in segment order, and their postings. Positions stay; ids aren't deduplicated."""
-    live = docs.join(deletes, ["seg", "doc"], "left_anti")
-    sized = live.groupBy("seg_ord").agg(F.count("*").alias("n"))  # one row for each segment
-    offset = sized.withColumn("o", F.coalesce(F.sum("n").over(Window.orderBy("seg_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    dense = renumber(live, ["doc"], ["seg_ord"]).join(F.broadcast(offset), "seg_ord").withColumn("new_doc", (F.col("new_doc") + F.col("o")).cast("long")).drop("o")
-    moved = posts.join(dense.select("seg", "doc", "new_doc"), ["seg", "doc"]).select("key", F.col("new_doc").alias("doc"), "pos", "tf")
-    return dense.select(F.col("new_doc").alias("doc"), "_id", "fields"), moved
+def merge(docs: DataFrame, posts: DataFrame, deletes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Live documents of all segments with fresh ids in segment order, and their postings. Positions stay; ids aren't deduplicated.
+
+    Only ids are renumbered; texts and postings meet them in a join each."""
+    ids = docs.select("seg_ord", "seg", "doc")
+    ids = ids if deletes is None else ids.join(deletes, ["seg", "doc"], "left_anti")
+    dense = renumber(ids, "doc", "seg_ord").select("seg", "doc", "new_doc")
+    body = docs.join(dense, ["seg", "doc"]).select(F.col("new_doc").alias("doc"), "_id", "fields")
+    moved = posts.join(dense, ["seg", "doc"]).select("key", F.col("new_doc").alias("doc"), "pos", "tf")
+    return body, moved

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import analysis
+from siftwell.functions import analysis, codec
 from siftwell.operators import build
 from siftwell.plans import compile as plan
-from siftwell.plans.query import And, Fuzzy, Or, Phrase, leaves, parse
+from siftwell.plans.query import Fuzzy, leaves, parse
 from siftwell.sources.index import segment_stats
 from siftwell.sources.ingest import last_wins, parse_json
 
@@ -68,35 +68,61 @@ P_SQL = "p AS (SELECT doc_id, field, term, field || ':' || term AS key, pos FROM
 BASE = f"WITH {F_SQL}, {T_SQL}, {P_SQL}"
 
 
-def _near_sql(x: Fuzzy) -> str:
-    rest = f"regexp_replace(substr(key, {len(x.field) + 2}), '[^\\x00-\\x7F]', chr(1), 'g')"
-    return f"starts_with(key, '{x.field}:') AND levenshtein({rest}, '{x.term}') <= {x.distance}"
 
 
-def _leaf_sql(x) -> str:
-    if isinstance(x, Phrase):
-        first = x.terms[0][0]
-        joins = "".join(f" JOIN p p{i} ON p{i}.doc_id = p.doc_id AND p{i}.key = '{x.field}:{t}' AND p{i}.pos = p.pos + {g}" for i, (t, g) in enumerate(x.terms[1:], 1))
-        return f"SELECT p.doc_id, count(*) AS n FROM p{joins} WHERE p.key = '{x.field}:{first}' GROUP BY 1"
-    where = _near_sql(x) if isinstance(x, Fuzzy) and x.distance else f"key = '{x.field}:{x.term}'"
-    return f"SELECT doc_id, count(*) AS n FROM p WHERE {where} GROUP BY 1"
+# The searches' SQL is written by hand, leaf by leaf, so that the query parser is on one side only.
 
 
-def _search_sql(query: str, limit: int | None = None, rank: bool = False, live: bool = False) -> str:
-    node = parse(query)
-    own = leaves(node)
-    at = iter(range(len(own)))
+def _near_sql(field: str, term: str, distance: int) -> str:
+    rest = f"regexp_replace(substr(key, {len(field) + 2}), '[^\\x00-\\x7F]', chr(1), 'g')"
+    return f"starts_with(key, '{field}:') AND levenshtein({rest}, '{term}') <= {distance}"
+
+
+def _tf(key: str) -> str:
+    return f"SELECT doc_id, count(*) AS n FROM p WHERE key = '{key}' GROUP BY 1"
+
+
+def _near(field: str, term: str, distance: int) -> str:
+    return f"SELECT doc_id, count(*) AS n FROM p WHERE {_near_sql(field, term, distance)} GROUP BY 1"
+
+
+def _phrase(field: str, first: str, *rest: tuple[str, int]) -> str:
+    joins = "".join(f" JOIN p p{i} ON p{i}.doc_id = p.doc_id AND p{i}.key = '{field}:{t}' AND p{i}.pos = p.pos + {g}" for i, (t, g) in enumerate(rest, 1))
+    return f"SELECT p.doc_id, count(*) AS n FROM p{joins} WHERE p.key = '{field}:{first}' GROUP BY 1"
 
-    def holds(x) -> str:
-        if isinstance(x, (And, Or)):
-            return "(" + (" AND " if isinstance(x, And) else " OR ").join(map(holds, x.kids)) + ")"
-        return f"coalesce(l{next(at)}.n, 0) > 0"
 
-    joins = "".join(f" LEFT JOIN ({_leaf_sql(x)}) l{i} ON l{i}.doc_id = d.doc_id" for i, x in enumerate(own))
-    score = " + ".join(f"coalesce(l{i}.n, 0)" for i in range(len(own)))
-    order = f" ORDER BY {'score DESC, ' * rank}seg_ord, doc LIMIT {limit}" if limit is not None else ""
-    dead = " AND d.doc_id % 11 <> 0" * live
-    return f"{BASE} SELECT d.doc_id % {SEGMENTS} AS seg_ord, d.doc_id // {SEGMENTS} AS doc, ({score})::BIGINT AS score FROM documents d{joins} WHERE {holds(node)}{dead}{order}"
+def _sql(leaves_: list[str], where: str, score: str, more: str = "", tail: str = "", select: str = f"doc_id % {SEGMENTS} AS seg_ord, doc_id // {SEGMENTS} AS doc") -> str:
+    """Documents with the counts of leaves a, b, c ... for which ``where`` holds, and their score."""
+    names = "abcdefgh"[: len(leaves_)]
+    joins = "".join(f" LEFT JOIN ({x}) {c}_ ON {c}_.doc_id = d.doc_id" for c, x in zip(names, leaves_))
+    counts = "".join(f", coalesce({c}_.n, 0) AS {c}" for c in names)
+    return f"{BASE}, m AS (SELECT d.doc_id, d.lang, d.source{counts} FROM documents d{joins}) SELECT {select}, ({score})::BIGINT AS score FROM m WHERE ({where}){more}{tail}"
+
+
+THE, OF, EN, FR, DE, ES, SRC3 = (_tf(k) for k in ("message:the", "message:of", "lang:en", "lang:fr", "lang:de", "lang:es", "source:src3"))
+SEARCH_SQL = {
+    "search_term": _sql([THE], "a > 0", "a"),
+    "search_field_term": _sql([EN], "a > 0", "a"),
+    "search_and": _sql([THE, EN], "a > 0 AND b > 0", "a + b"),
+    "search_or": _sql([FR, DE], "a > 0 OR b > 0", "a + b"),
+    "search_grouped": _sql([EN, FR, SRC3], "(a > 0 OR b > 0) AND c > 0", "a + b + c"),
+    "search_precedence": _sql([FR, SRC3, DE], "(a > 0 AND b > 0) OR c > 0", "a + b + c"),
+    "search_phrase": _sql([_phrase("message", "the", ("the", 1))], "a > 0", "a"),
+    "search_phrase_gap": _sql([_phrase("message", "the", ("of", 2))], "a > 0", "a"),
+    "search_phrase_field": _sql([EN, _phrase("message", "the", ("of", 1))], "a > 0 AND b > 0", "a + b"),
+    "search_phrase_repeat": _sql([_phrase("message", "of", ("of", 1), ("of", 2))], "a > 0", "a"),
+    "search_fuzzy": _sql([_near("message", "attion", 1)], "a > 0", "a"),
+    "search_fuzzy_zero": _sql([THE], "a > 0", "a"),
+    "search_fuzzy_and": _sql([_near("message", "attion", 2), EN], "a > 0 AND b > 0", "a + b"),
+    "search_tf": _sql([THE], "a > 0", "a"),
+    "search_tf_or_branch": _sql([THE, FR, OF], "(a > 0 AND b > 0) OR c > 0", "a + b + c + c"),
+    "search_tf_phrase": _sql([_phrase("message", "the", ("of", 1)), _tf("message:in")], "a > 0 OR b > 0", "a + b"),
+    "search_tf_fuzzy": _sql([_near("message", "attion", 1)], "a > 0", "a"),
+    "search_limit": _sql([OF], "a > 0", "a", tail=" ORDER BY seg_ord, doc LIMIT 10"),
+    "search_top_k_tf": _sql([THE, OF], "a > 0 OR b > 0", "a + b", tail=" ORDER BY score DESC, seg_ord, doc LIMIT 10"),
+    "search_live": _sql([THE, OF], "a > 0 AND b > 0", "a + b", " AND doc_id % 11 <> 0"),
+    "search_multi_segment": _sql([_tf("message:in"), ES], "a > 0 OR b > 0", "a + b"),
+}
 
 
 #: name: (query, limit, rank, live)
@@ -140,11 +166,15 @@ def term_dictionary(s, d):
 
 def docid_remap(s, d):
     live = corpus(s, d).where(F.col("_id").cast("long") % 11 != 0).select(F.col("_id").cast("long").alias("doc_id"))
-    return build.renumber(live, ["doc_id"]).select("doc_id", "new_doc")
+    return build.renumber(live, "doc_id").select("doc_id", "new_doc")
 
 
 def postings_integrity(s, d):
-    return build.integrity(_posts(s, d), corpus(s, d))
+    """Violations that are put in: postings twice (doc_id divisible by 50), positions reversed (by 60), documents missing (by 97)."""
+    posts, docs = _posts(s, d), corpus(s, d)
+    doc_id = F.col("doc") * SEGMENTS + F.col("seg_ord")
+    turned = posts.withColumn("pos", F.when(doc_id % 60 == 0, F.reverse("pos")).otherwise(F.col("pos")))
+    return build.integrity(turned.union(turned.where(doc_id % 50 == 0)), docs.where(doc_id % 97 != 0))
 
 
 def fuzzy_expand(leaf: str):
@@ -154,11 +184,6 @@ def fuzzy_expand(leaf: str):
     return run
 
 
-def search_with_ram(s, d):
-    """Documents of the last segment as the buffer: the same matches, after all others."""
-    return _search("the AND lang:en", None)(s, d).withColumn("ram", (F.col("seg_ord") == SEGMENTS - 1).cast("int"))
-
-
 def search_hits(s, d):
     q = "source:src7 AND of"
     found = plan.hits(_narrow(s, d, q), q, None, True)
@@ -185,13 +210,8 @@ def merge_postings(s, d):
 
 
 def merge_dictionary(s, d):
-    t = tables(s, d, True)
-    live = t.postings.join(t.deletes, ["seg", "doc"], "left_anti")
-    return live.groupBy("key").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def delete_by_id(s, d):
-    return corpus(s, d).where(F.col("_id") == "42").select("seg", "doc", "_id")
+    merged = _merged(s, d)[1].withColumn("seg", F.lit("merged"))
+    return build.dictionary(merged).select("key", "df", "cf", "encoded_len")
 
 
 def segments(s, d):
@@ -216,20 +236,17 @@ def encoded_size(s, d):
     return build.dictionary(_posts(s, d)).select("seg", "key", "encoded_len")
 
 
-def scan_vs_index(s, d):
-    """Documents that the index and a scan of the texts disagree about: none."""
-    index = _search("of AND (lang:en OR lang:fr)")(s, d).select("seg_ord", "doc")
-    f = F.col("fields")
-    has = F.array_contains(analysis.tokens(f["message"]), "of") & (F.array_contains(analysis.tokens(f["lang"]), "en") | F.array_contains(analysis.tokens(f["lang"]), "fr"))
-    scan = corpus(s, d).where(has).select(F.col("seg_ord").cast("long").alias("seg_ord"), "doc")
-    both = index.withColumn("i", F.lit(1)).join(scan.withColumn("j", F.lit(1)), ["seg_ord", "doc"], "full")
-    return both.where("i is null or j is null").agg(F.count("*").alias("differ"))
+def decode_postings(s, d):
+    """Postings as bytes, by key and block of documents, and back."""
+    lists = _posts(s, d).withColumn("b", build.block()).groupBy("seg", "key", "b").agg(F.array_sort(F.collect_list(F.struct("doc", "pos"))).alias("list"))
+    back = lists.select("seg", "key", codec.encoded(F.col("list")).alias("bytes")).select("seg", "key", F.explode(codec.decoded(F.col("bytes"))).alias("x"))
+    return back.select("seg", "key", "x.doc", F.concat_ws(",", F.transform("x.pos", lambda p: p.cast("string"))).alias("positions"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        analyze_tokens, field_terms, field_positions, build_postings, term_dictionary, docid_remap, postings_integrity, search_with_ram, search_hits, search_stats,
-        merge_docs, merge_postings, merge_dictionary, delete_by_id, upsert_last_wins, json_field_text, delta_encode, encoded_size, scan_vs_index,
+        analyze_tokens, field_terms, field_positions, build_postings, term_dictionary, docid_remap, postings_integrity, search_hits, search_stats,
+        merge_docs, merge_postings, merge_dictionary, upsert_last_wins, json_field_text, delta_encode, encoded_size, decode_postings,
     )
     return {f.__name__: f for f in named} | {"segment_stats": segments, "fuzzy_expand_1": fuzzy_expand("attion~1"), "fuzzy_expand_2": fuzzy_expand("attion~2")} | {k: _search(*v) for k, v in SEARCHES.items()}
 
@@ -244,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
     sized = f"""{BASE}, g AS (SELECT doc_id % {SEGMENTS} AS s, doc_id // {SEGMENTS} AS doc, key, count(*) AS tf, list(pos ORDER BY pos) AS ps FROM p GROUP BY ALL),
       e AS (SELECT s, key, doc - lag(doc, 1, 0) OVER (PARTITION BY s, key ORDER BY doc) AS dd, tf, ps FROM g),
       b AS (SELECT s, key, {_vi("dd")} + {_vi("tf")} + list_sum(list_transform(range(1, len(ps) + 1), lambda i: {_vi("(ps[i] - CASE WHEN i > 1 THEN ps[i - 1] ELSE 0 END)")})) AS n FROM e)"""
-    one = parse("attion~1")
+    one = _near_sql("message", "attion", 1)
     out = {
         "analyze_tokens": f"{BASE} SELECT doc_id, field, pos, term FROM p",
         "field_terms": f"{BASE} SELECT DISTINCT doc_id, key FROM p",
@@ -252,21 +269,22 @@ def oracle_sql() -> dict[str, str]:
         "build_postings": f"{BASE} SELECT {seg}, key, count(*)::BIGINT AS tf FROM p GROUP BY doc_id, key",
         "term_dictionary": f"{BASE} SELECT (doc_id % {SEGMENTS})::VARCHAR AS seg, key, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM p GROUP BY 1, 2",
         "docid_remap": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_doc FROM documents WHERE doc_id % 11 <> 0",
-        "postings_integrity": "SELECT 0::BIGINT AS doc_order, 0::BIGINT AS pos_order, 0::BIGINT AS orphans",
-        "search_with_ram": f"SELECT *, (seg_ord = {SEGMENTS - 1})::INT AS ram FROM ({_search_sql('the AND lang:en')})",
-        "search_hits": f"SELECT d.doc_id::VARCHAR AS _id, x.seg_ord::VARCHAR AS _seg, x.doc::VARCHAR AS _doc, x.score::VARCHAR AS _score, d.lang, d.source FROM ({_search_sql('source:src7 AND of')}) x JOIN documents d ON d.doc_id = x.doc * {SEGMENTS} + x.seg_ord",
-        "search_stats": f"{BASE}, k AS (SELECT DISTINCT doc_id % {SEGMENTS} AS s, key FROM p), x AS (SELECT * FROM k WHERE {_near_sql(one)}) SELECT ({2 * SEGMENTS} + (SELECT count(*) FROM x))::BIGINT AS postings_lookups, (SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM k WHERE key = 'message:the'))::BIGINT AS postings_decoded, {SEGMENTS}::BIGINT AS segments_searched",
+        "postings_integrity": f"{BASE}, g AS (SELECT doc_id, key, count(*) AS n FROM p GROUP BY ALL) SELECT count(*) FILTER (doc_id % 50 = 0)::BIGINT AS doc_order, coalesce(sum(CASE WHEN doc_id % 60 = 0 AND n > 1 THEN CASE WHEN doc_id % 50 = 0 THEN 2 ELSE 1 END ELSE 0 END), 0)::BIGINT AS pos_order, coalesce(sum(CASE WHEN doc_id % 97 = 0 THEN CASE WHEN doc_id % 50 = 0 THEN 2 ELSE 1 END ELSE 0 END), 0)::BIGINT AS orphans FROM g",
+        "search_hits": f"SELECT d.doc_id::VARCHAR AS _id, x.seg_ord::VARCHAR AS _seg, x.doc::VARCHAR AS _doc, x.score::VARCHAR AS _score, d.lang, d.source FROM ({_sql([_tf('source:src7'), OF], 'a > 0 AND b > 0', 'a + b')}) x JOIN documents d ON d.doc_id = x.doc * {SEGMENTS} + x.seg_ord",
+        "search_stats": f"{BASE}, k AS (SELECT DISTINCT doc_id % {SEGMENTS} AS s, key FROM p), x AS (SELECT * FROM k WHERE {one}) SELECT ({2 * SEGMENTS} + (SELECT count(*) FROM x))::BIGINT AS postings_lookups, (SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM k WHERE key = 'message:the'))::BIGINT AS postings_decoded, {SEGMENTS}::BIGINT AS segments_searched",
         "merge_docs": f"WITH {live} SELECT doc, doc_id::VARCHAR AS _id FROM live",
         "merge_postings": f"{BASE}, {live} SELECT live.doc, p.key, count(*)::BIGINT AS tf FROM p JOIN live USING (doc_id) GROUP BY ALL",
-        "merge_dictionary": f"{BASE} SELECT key, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM p WHERE doc_id % 11 <> 0 GROUP BY key",
-        "delete_by_id": f"SELECT {seg}, doc_id::VARCHAR AS _id FROM documents WHERE doc_id = 42",
+        "merge_dictionary": f"""{BASE}, {live}, g AS (SELECT live.doc, p.key, count(*) AS tf, list(pos ORDER BY pos) AS ps FROM p JOIN live USING (doc_id) GROUP BY ALL),
+          e AS (SELECT key, doc - lag(doc, 1, 0) OVER (PARTITION BY key ORDER BY doc) AS dd, tf, ps FROM g),
+          b AS (SELECT key, tf, {_vi("dd")} + {_vi("tf")} + list_sum(list_transform(range(1, len(ps) + 1), lambda i: {_vi("(ps[i] - CASE WHEN i > 1 THEN ps[i - 1] ELSE 0 END)")})) AS n FROM e)
+          SELECT key, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, ({_vi('count(*)')} + sum(n))::BIGINT AS encoded_len FROM b GROUP BY key""",
+        "decode_postings": f"{BASE} SELECT {seg}, key, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY doc_id, key",
         "segment_stats": f"{BASE}, k AS (SELECT doc_id % {SEGMENTS} AS s, count(DISTINCT key) AS terms FROM p GROUP BY 1) SELECT s::VARCHAR AS seg, count(*)::BIGINT AS docs, count(*) FILTER (doc_id % 11 = 0)::BIGINT AS deleted, count(*) FILTER (doc_id % 11 <> 0)::BIGINT AS live, any_value(terms)::BIGINT AS terms FROM documents JOIN k ON k.s = doc_id % {SEGMENTS} GROUP BY s",
         "upsert_last_wins": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
         "json_field_text": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "delta_encode": f"{BASE}, x AS (SELECT doc_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id, key ORDER BY pos) AS dp FROM p) SELECT {seg}, key, string_agg(dp::VARCHAR, ',' ORDER BY pos) AS deltas FROM x GROUP BY doc_id, key",
         "encoded_size": f"{sized} SELECT s::VARCHAR AS seg, key, ({_vi('count(*)')} + sum(n))::BIGINT AS encoded_len FROM b GROUP BY s, key",
-        "scan_vs_index": "SELECT 0::BIGINT AS differ",
-        "fuzzy_expand_1": f"{BASE} SELECT DISTINCT key FROM p WHERE {_near_sql(one)}",
-        "fuzzy_expand_2": f"{BASE} SELECT DISTINCT key FROM p WHERE {_near_sql(parse('attion~2'))}",
+        "fuzzy_expand_1": f"{BASE} SELECT DISTINCT key FROM p WHERE {one}",
+        "fuzzy_expand_2": f"{BASE} SELECT DISTINCT key FROM p WHERE {_near_sql('message', 'attion', 2)}",
     }
-    return out | {k: _search_sql(*v) for k, v in SEARCHES.items()}
+    return out | SEARCH_SQL

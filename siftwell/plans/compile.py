@@ -16,6 +16,12 @@ from siftwell.functions.analysis import scoped
 from siftwell.plans.query import And, Fuzzy, Or, Phrase, leaves, parse
 
 
+#: Rows (of two numbers each) that a search broadcasts, at most, and keys that it pushes down to the scan.
+MOST_ROWS, MOST_KEYS = 1_000_000, 1_000
+#: How much rarer than the rest the rarest required key must be for the rest to be cut to its documents.
+RARER = 8
+
+
 @dataclass(frozen=True)
 class Tables:
     """docs(seg_ord, seg, doc, _id, fields), postings(seg_ord, seg, key, doc, pos, tf), terms(seg, key), deletes(seg, doc)."""
@@ -24,6 +30,9 @@ class Tables:
     postings: DataFrame
     terms: DataFrame
     deletes: DataFrame | None = None
+    n_deletes: int | None = None
+    #: Whether the tables are files, so that a look at the dictionary before the search is cheap.
+    stored: bool = False
 
 
 def fuzzy_keys(terms: DataFrame, leaf: Fuzzy) -> DataFrame:
@@ -49,6 +58,48 @@ def _wide(node) -> list[Fuzzy]:
     return list(dict.fromkeys(x for x in leaves(node) if isinstance(x, Fuzzy) and x.distance))
 
 
+def required(node) -> set[str]:
+    """Keys that every match has."""
+    if isinstance(node, And):
+        return set().union(*map(required, node.kids))
+    if isinstance(node, Phrase):
+        return {scoped(node.field, t) for t, _ in node.terms}
+    if isinstance(node, Or) or isinstance(node, Fuzzy) and node.distance:
+        return set()
+    return {scoped(node.field, node.term)}
+
+
+def frequencies(tables: Tables, keys: list[str]) -> dict[str, int]:
+    """Documents of each key, by the dictionary; 0 where it isn't."""
+    rows = tables.terms.where(F.col("key").isin(keys)).groupBy("key").agg(F.sum("df").alias("df")).collect()
+    return dict.fromkeys(keys, 0) | {r.key: r.df for r in rows}
+
+
+def _exact(tables: Tables, node, keys: list[str]) -> DataFrame:
+    """Postings of the exact keys. If one that every match needs is rare, all others are cut to its documents before any shuffle."""
+    posts = tables.postings.where(F.col("key").isin(keys))
+    need = required(node)
+    if not (tables.stored and need and len(keys) > 1):
+        return posts
+    df = frequencies(tables, keys)
+    rare = min(need, key=lambda k: (df[k], k))
+    if not df[rare]:
+        return posts.where(F.col("key") == rare)  # no document matches
+    if df[rare] > MOST_ROWS or df[rare] * RARER > sum(df.values()):
+        return posts
+    first = tables.postings.where(F.col("key") == rare)
+    rest = tables.postings.where(F.col("key").isin([k for k in keys if k != rare]))
+    return first.union(rest.join(F.broadcast(first.select("seg", "doc")), ["seg", "doc"], "left_semi").select(*first.columns))
+
+
+def _near(tables: Tables, leaf: Fuzzy) -> DataFrame:
+    """Postings of all keys near a fuzzy term: few keys are pushed down to the scan, more meet it in a join."""
+    near = fuzzy_keys(tables.terms, leaf).select("key").distinct()
+    if tables.stored and len(rows := near.limit(MOST_KEYS + 1).collect()) <= MOST_KEYS:
+        return tables.postings.where(F.col("key").isin([r.key for r in rows])) if rows else tables.postings.where(F.lit(False))
+    return tables.postings.join(near, "key", "left_semi")
+
+
 def _starts(places: list[Column], terms) -> Column:
     """Number of places where all terms of a phrase stand at their distances."""
     out = places[0]
@@ -69,13 +120,13 @@ def matched(tables: Tables, node) -> DataFrame:
     phrases = any(isinstance(x, Phrase) for x in leaves(node))
     pos = F.col("pos") if phrases else F.lit(None).cast("array<int>")
     if keys:
-        used = tables.postings.where(F.col("key").isin(keys)).select(*columns, "key", F.lit(-1).alias("leaf"), "tf", pos.alias("pos"))
+        used = _exact(tables, node, keys).select(*columns, "key", F.lit(-1).alias("leaf"), "tf", pos.alias("pos"))
     for i, leaf in enumerate(wide):
-        near = fuzzy_keys(tables.terms, leaf).select("key").distinct()
-        found = tables.postings.join(near, "key", "left_semi").select(*columns, "key", F.lit(i).alias("leaf"), "tf", F.lit(None).cast("array<int>").alias("pos"))
+        found = _near(tables, leaf).select(*columns, "key", F.lit(i).alias("leaf"), "tf", F.lit(None).cast("array<int>").alias("pos"))
         used = found if used is None else used.union(found)
     if tables.deletes is not None:
-        used = used.join(tables.deletes, ["seg", "doc"], "left_anti").select(*used.columns)
+        small = tables.n_deletes is not None and tables.n_deletes <= MOST_ROWS
+        used = used.join(F.broadcast(tables.deletes) if small else tables.deletes, ["seg", "doc"], "left_anti").select(*used.columns)
     at = {k: i for i, k in enumerate(keys)}
     is_key = lambda k: (F.col("leaf") == -1) & (F.col("key") == k)
     sums = [F.sum(F.when(is_key(k), F.col("tf")).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for k, i in at.items()]

@@ -3,6 +3,10 @@
 ``segments.json`` names the segments in order, with the version of each one's deletes; it is
 replaced by a rename, so readers see the old or the new list. Paths are on a local or mounted
 file system, where a rename is atomic.
+
+A search takes its snapshot (commit and buffer) under a short lock and runs without it. Flush,
+delete and merge exclude each other, not searches or new documents: what is indexed while a flush
+writes stays in the buffer. Merged segments are removed when no search that may read them is left.
 """
 
 from __future__ import annotations
@@ -13,10 +17,13 @@ import re
 import shutil
 import threading
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.analysis import analyze, scoped
 from siftwell.operators import build
 from siftwell.plans import compile as plan
 from siftwell.plans.query import Fuzzy, Phrase, leaves, parse
@@ -36,6 +43,10 @@ class Exists(ValueError):
     """The index exists already."""
 
 
+class Corrupt(ValueError):
+    """A committed segment that isn't what a writer leaves."""
+
+
 class BadName(ValueError):
     """A name that no index can have."""
 
@@ -90,20 +101,34 @@ def read_commit(path: str) -> dict:
         return json.load(f)
 
 
-def write_commit(path: str, commit: dict) -> None:
-    to = os.path.join(path, "segments.json")
-    with open(to + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(commit, f)
+def _sync(path: str) -> None:
+    fd = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(fd)
+    finally:
+        os.close(fd)
+
+
+def _save_json(path: str, value: dict) -> None:
+    """Replace a file, whole and durably."""
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        json.dump(value, f)
         f.flush()
         os.fsync(f.fileno())
-    os.replace(to + ".tmp", to)
+    os.replace(path + ".tmp", path)
+    _sync(os.path.dirname(path))
+
+
+def write_commit(path: str, commit: dict) -> None:
+    _save_json(os.path.join(path, "segments.json"), commit)
 
 
 class Index:
     def __init__(self, spark: SparkSession, name: str, path: str):
         self.spark, self.name, self.path = spark, name, path
-        self.lock, self.counter, self.next_doc = threading.RLock(), 0, 0
+        self.lock, self.writer, self.counter, self.next_doc = threading.RLock(), threading.RLock(), 0, 0
         self.ram: dict[str, tuple[int, dict[str, str]]] = {}
+        self.readers, self.trash = 0, []
 
     # buffer
 
@@ -120,91 +145,149 @@ class Index:
             self.ram[doc_id] = seq, {k: v for k, v in fields.items() if k != "_id"}
             return doc_id, seq, replaced
 
-    def index_all(self, docs: DataFrame) -> dict:
-        """Write a DataFrame (_id, fields) as a segment of its own, without the buffer: the way in for bulk data. Ids must not be empty."""
-        with self.lock:
+    def index_all(self, docs: DataFrame, batch: str | None = None) -> dict:
+        """Write a DataFrame (_id, fields) as a segment of its own, without the buffer: the way in for bulk data. Ids must not be empty.
+
+        ``batch`` names the data: what is in the commit under a name already isn't written again."""
+        with self.writer:
             commit = read_commit(self.path)
+            if batch is not None and batch in commit.get("batches", []):
+                return {"flushed": False, "segment": "", "docs": 0, "terms": 0, "generation": commit["generation"]}
             seg = self._next_id(commit)
             body = docs.select("_id", F.map_concat(F.map_filter("fields", lambda k, v: k != "_id"), F.create_map(F.lit("_id"), F.col("_id"))).alias("fields"))
-            # partition and place in it give each row its number, from per-partition counts
-            placed = body.withColumn("_m", F.monotonically_increasing_id())
+            # partition and place in it give each row its order; blocks of places are numbered by their counts
             stage = self._seg(seg) + ".stage"
-            placed.write.mode("overwrite").parquet(stage)
-            dense = build.renumber(self.spark.read.parquet(stage), ["_m"]).select(F.col("new_doc").alias("doc"), "_id", "fields")
-            self._write(seg, dense, None)
+            body.withColumn("_m", F.monotonically_increasing_id()).write.mode("overwrite").parquet(stage)
+            placed = self.spark.read.parquet(stage)
+            dense = build.renumber(placed.select("_m"), "_m")
+            self._write(seg, placed.join(dense, "_m").select(F.col("new_doc").alias("doc"), "_id", "fields"), None)
             shutil.rmtree(stage)
+            if batch is not None:
+                commit.setdefault("batches", []).append(batch)
             return self._publish(commit, seg)
 
-    def _buffer(self) -> DataFrame:
-        rows = sorted((seq, i, {**f, "_id": i}) for i, (seq, f) in self.ram.items())
+    def _buffer(self, ram: dict[str, tuple[int, dict[str, str]]]) -> DataFrame:
+        rows = sorted((seq, i, {**f, "_id": i}) for i, (seq, f) in ram.items())
         return self.spark.createDataFrame([(2**31 - 1, RAM, seq, i, f) for seq, i, f in rows], DOCS)
 
+    def snapshot(self) -> list[tuple[int, str, dict[str, str]]]:
+        """All buffered documents in order: (sequence, _id, fields)."""
+        with self.lock:
+            return sorted((seq, i, dict(f)) for i, (seq, f) in self.ram.items())
+
+    @contextmanager
+    def _reading(self) -> Iterator[tuple[dict, dict]]:
+        """The commit and the buffer as they are now; segments merged meanwhile stay readable."""
+        with self.lock:
+            self.readers += 1
+            seen = read_commit(self.path), dict(self.ram)
+        try:
+            yield seen
+        finally:
+            with self.lock:
+                self.readers -= 1
+                self._sweep()
+
+    def _sweep(self) -> None:
+        if not self.readers:
+            for seg in self.trash:
+                shutil.rmtree(self._seg(seg), ignore_errors=True)
+            self.trash.clear()
+
     # tables
 
     def _seg(self, seg: str) -> str:
         return os.path.join(self.path, "segments", seg)
 
+    def meta(self, seg: str) -> dict:
+        """What a segment says of itself; a segment without it, or of another name, is refused."""
+        try:
+            with open(os.path.join(self._seg(seg), "meta.json"), encoding="utf-8") as f:
+                meta = json.load(f)
+            if meta["id"] != seg or min(meta["docs"], meta["terms"], meta["created_ns"]) < 0:
+                raise ValueError(f"segment {seg} names itself {meta['id']!r}")
+        except FileNotFoundError:
+            raise
+        except (KeyError, TypeError, ValueError) as e:
+            raise Corrupt(f"segment {seg}: bad meta.json: {e}") from e
+        return meta
+
     def _read(self, commit: dict, table: str, schema: str) -> DataFrame:
         """Only committed folders are read, in commit order."""
-        out = self.spark.createDataFrame([], schema)
-        parts = []
+        out = None
         for n, s in enumerate(commit["segments"]):
+            self.meta(s["id"])
             path = os.path.join(self._seg(s["id"]), table)
             if not os.path.isdir(path):
                 raise FileNotFoundError(path)
-            parts.append(self.spark.read.parquet(path).select(F.lit(n).alias("seg_ord"), F.lit(s["id"]).alias("seg"), *[c.split()[0] for c in schema.split(", ")[2:]]))
-        for p in parts:
-            out = p if out is None else out.union(p) if parts.index(p) else p
-        return out
+            part = self.spark.read.parquet(path).select(F.lit(n).alias("seg_ord"), F.lit(s["id"]).alias("seg"), *[c.split()[0] for c in schema.split(", ")[2:]])
+            out = part if out is None else out.union(part)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
-    def _deletes(self, commit: dict) -> DataFrame:
-        out = self.spark.createDataFrame([], "seg string, doc long")
+    def _deletes(self, commit: dict) -> DataFrame | None:
+        """(seg, doc) of all deletes; None where no segment has any."""
+        out = None
         for s in commit["segments"]:
             if s.get("deletes"):
-                out = out.union(self.spark.read.parquet(f"{self._seg(s['id'])}/deletes-{s['deletes']}").select(F.lit(s["id"]).alias("seg"), "doc"))
+                part = self.spark.read.parquet(f"{self._seg(s['id'])}/deletes-{s['deletes']}").select(F.lit(s["id"]).alias("seg"), "doc")
+                out = part if out is None else out.union(part)
         return out
 
-    def tables(self, commit: dict | None = None, ram: bool = True) -> plan.Tables:
-        commit = commit or read_commit(self.path)
+    def tables(self, commit: dict | None = None, ram: dict | None = None) -> plan.Tables:
+        """The committed segments of ``commit`` (the present one if None), and the buffer ``ram`` after them."""
+        if commit is None:
+            with self.lock:
+                commit, ram = read_commit(self.path), dict(self.ram)
         docs, posts, terms = self._read(commit, "docs", DOCS), self._read(commit, "postings", POSTINGS), self._read(commit, "terms", TERMS)
-        if ram and self.ram:
-            buffered = self._buffer()
+        if ram:
+            buffered = self._buffer(ram)
             own = build.postings(buffered.select("seg_ord", "seg", "doc", "fields"))
             docs, posts = docs.unionByName(buffered), posts.unionByName(own)
             terms = terms.unionByName(_terms(own).withColumn("seg_ord", F.lit(2**31 - 1)))
-        return plan.Tables(docs, posts, terms, self._deletes(commit))
+        return plan.Tables(docs, posts, terms, self._deletes(commit), sum(s.get("n_deleted", 0) for s in commit["segments"]), True)
+
+    def verify(self) -> None:
+        """Read all committed segments and refuse what no writer leaves: counts unlike meta.json's, ids with gaps, postings out of order or of no document."""
+        with self._reading() as (commit, _):
+            t = self.tables(commit)
+            for s in commit["segments"]:
+                meta, mine = self.meta(s["id"]), F.col("seg") == s["id"]
+                d = t.docs.where(mine).agg(F.count("*").alias("n"), F.count_distinct("doc").alias("u"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).first()
+                if (d.n, d.u) != (meta["docs"],) * 2 or d.n and (d.lo, d.hi) != (0, d.n - 1) or t.terms.where(mine).count() != meta["terms"]:
+                    raise Corrupt(f"segment {s['id']}: documents or terms aren't those of meta.json")
+            wrong = build.integrity(t.postings, t.docs).first()
+            df = t.postings.groupBy("seg", "key").agg(F.count("*").alias("df")).join(t.terms.select("seg", "key", F.col("df").alias("was")), ["seg", "key"], "full").where("df is null or was is null or df <> was")
+            if any(wrong) or df.limit(1).count():
+                raise Corrupt("postings and dictionary disagree")
 
     # search
 
     def search(self, query: str, limit: int = 10, rank: bool = False) -> dict:
         """Hits in order and the counters of the search."""
         began = time.monotonic()
-        with self.lock:
-            if limit < 0:
-                raise ValueError("limit must be >= 0")
-            node = parse(query)
-            commit = read_commit(self.path)
-            tables = self.tables(commit)
+        if limit < 0:
+            raise ValueError("limit must be >= 0")
+        node = parse(query)
+        with self._reading() as (commit, ram):
+            tables = self.tables(commit, ram)
             rows = [r.asDict() for r in plan.hits(tables, query, limit, rank).collect()] if limit else []
             found = [{**r.pop("fields"), **r} for r in rows]
             n = len(commit["segments"])
-            wide = any(isinstance(x, Fuzzy) and x.distance for x in leaves(node))
-            if wide:
-                lookups = plan.lookups(tables, query, n + bool(self.ram)).first()
-                looked = (lookups.postings_lookups or 0) if lookups else 0
-            else:
-                looked = sum(len(x.terms) if isinstance(x, Phrase) else 1 for x in leaves(node)) * (n + bool(self.ram))
-            keys = plan.exact_keys(node)
-            used = tables.terms.where(F.col("seg") != RAM)
-            chosen = used.where(F.col("key").isin(keys)).select("seg", "key", "encoded_len")
-            for x in {x for x in leaves(node) if isinstance(x, Fuzzy) and x.distance}:
-                chosen = chosen.union(used.join(plan.fuzzy_keys(used, x), ["seg", "key"], "left_semi").select("seg", "key", "encoded_len"))
-            io = chosen.distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("encoded_len"), F.lit(0)).alias("b")).first()
+            wide = {x for x in leaves(node) if isinstance(x, Fuzzy) and x.distance}
+            looked = sum(0 if x in wide else len(x.terms) if isinstance(x, Phrase) else 1 for x in leaves(node)) * (n + bool(ram))
+            chosen = tables.terms.where(F.col("key").isin(plan.exact_keys(node))).select("seg", "key", "encoded_len", F.lit(0).alias("times"))
+            for x in wide:
+                near = plan.fuzzy_keys(tables.terms, x)
+                times = sum(y == x for y in leaves(node))  # a repeated leaf is looked up again
+                chosen = chosen.union(tables.terms.join(near, ["seg", "key"], "left_semi").select("seg", "key", "encoded_len", F.lit(times).alias("times")))
+            each = chosen.groupBy("seg", "key").agg(F.first("encoded_len").alias("b"), F.sum("times").alias("times"))
+            disk = F.col("seg") != RAM
+            io = each.agg(F.count_if(disk).alias("n"), F.coalesce(F.sum(F.when(disk, F.col("b"))), F.lit(0)).alias("b"), F.coalesce(F.sum("times"), F.lit(0)).alias("near")).first()
             body = [len(json.dumps({k: v for k, v in h.items() if k not in ("_seg", "_doc", "_score")}, ensure_ascii=False, separators=(",", ":")).encode()) for h in found if h["_seg"] != RAM]
             docs_bytes = sum(b + max(1, -(-b.bit_length() // 7)) for b in body)
-            meta = os.path.getsize(os.path.join(self.path, "segments.json")) + sum(_bytes(os.path.join(self._seg(s["id"]), "terms")) for s in commit["segments"])
+            meta = os.path.getsize(os.path.join(self.path, "segments.json")) + sum(_bytes(os.path.join(self._seg(s["id"]), "terms")) + os.path.getsize(os.path.join(self._seg(s["id"]), "meta.json")) for s in commit["segments"])
         return {
-            "hits": found, "took_ms": int((time.monotonic() - began) * 1000), "postings_lookups": looked, "docs_examined": len(found), "segments_searched": n,
+            "hits": found, "took_ms": int((time.monotonic() - began) * 1000), "postings_lookups": looked + io.near, "docs_examined": len(found), "segments_searched": n,
             "io": {"metadata_bytes_read": meta, "postings_bytes_read": io.b, "docs_bytes_read": docs_bytes, "postings_decoded": io.n},
         }
 
@@ -224,56 +307,68 @@ class Index:
             posts = build.postings(stored.select(F.lit(seg).alias("seg"), "doc", "fields")).drop("seg")
         posts.select("key", "doc", "pos", "tf").sort("key", "doc").write.parquet(f"{part}/postings")  # sorted: row groups are skipped by key
         _terms(self.spark.read.parquet(f"{part}/postings").withColumn("seg", F.lit(seg))).drop("seg").sort("key").write.parquet(f"{part}/terms")
+        count = lambda t: self.spark.read.parquet(f"{part}/{t}").count()
+        _save_json(os.path.join(part, "meta.json"), {"id": seg, "docs": count("docs"), "terms": count("terms"), "created_ns": time.time_ns()})
         os.rename(part, self._seg(seg))
+        _sync(os.path.join(self.path, "segments"))
 
-    def _publish(self, commit: dict, seg: str) -> dict:
+    def _publish(self, commit: dict, seg: str, frozen: dict | None = None) -> dict:
         commit["generation"] += 1
         commit["segments"].append({"id": seg, "generation": commit["generation"]})
-        write_commit(self.path, commit)
-        count = lambda t: self.spark.read.parquet(f"{self._seg(seg)}/{t}").count()
-        out = {"flushed": True, "segment": seg, "docs": count("docs"), "terms": count("terms"), "generation": commit["generation"]}
+        with self.lock:  # searches see the documents in the buffer or in the segment, never in both or none
+            write_commit(self.path, commit)
+            for i, row in (frozen or {}).items():
+                if self.ram.get(i) is row:  # what was indexed again meanwhile stays
+                    del self.ram[i]
+            self.next_doc = self.next_doc if self.ram else 0
+        meta = self.meta(seg)
+        out = {"flushed": True, "segment": seg, "docs": meta["docs"], "terms": meta["terms"], "generation": commit["generation"]}
         self._merge(AUTO_MERGE)
         return out
 
     def flush(self) -> dict:
         """The buffer as a segment; from three segments on, all are merged. What is returned is from before the merge."""
-        with self.lock:
+        with self.writer:
             commit = read_commit(self.path)
-            if not self.ram:
+            with self.lock:
+                frozen = dict(self.ram)
+            if not frozen:
                 return {"flushed": False, "segment": "", "docs": 0, "terms": 0, "generation": commit["generation"]}
             seg = self._next_id(commit)
-            rows = sorted((seq, i, {**f, "_id": i}) for i, (seq, f) in self.ram.items())
+            rows = sorted((seq, i, {**f, "_id": i}) for i, (seq, f) in frozen.items())
             self._write(seg, self.spark.createDataFrame([(n, i, f) for n, (_, i, f) in enumerate(rows)], "doc long, _id string, fields map<string,string>"), None)
-            self.ram.clear()
-            self.next_doc = 0
-            return self._publish(commit, seg)
+            return self._publish(commit, seg, frozen)
 
     def delete(self, doc_id: str) -> int:
         """Delete all live copies, buffered and committed; their number."""
-        with self.lock:
+        with self.writer:
             n = 0
-            if doc_id and self.ram.pop(doc_id, None) is not None:
-                n = 1
-                self.next_doc = self.next_doc if self.ram else 0
+            with self.lock:
+                if doc_id and self.ram.pop(doc_id, None) is not None:
+                    n = 1
+                    self.next_doc = self.next_doc if self.ram else 0
             commit = read_commit(self.path)
             gone = self._deletes(commit)
-            found = self._read(commit, "docs", DOCS).where(F.col("_id") == doc_id).select("seg", "doc").join(gone, ["seg", "doc"], "left_anti")
+            found = self._read(commit, "docs", DOCS).where(F.col("_id") == doc_id).select("seg", "doc")
+            found = found if gone is None else found.join(gone, ["seg", "doc"], "left_anti")
             counts = {r.seg: r.n for r in found.groupBy("seg").agg(F.count("*").alias("n")).collect()} if doc_id else {}
             for s in commit["segments"]:
                 if s["id"] in counts:
                     version = s.get("deletes", 0) + 1
-                    both = gone.where(F.col("seg") == s["id"]).union(found.where(F.col("seg") == s["id"])).select("doc")
-                    both.write.mode("overwrite").parquet(f"{self._seg(s['id'])}/deletes-{version}")
-                    s["deletes"] = version
+                    both = found.where(F.col("seg") == s["id"])
+                    both = both if gone is None else gone.where(F.col("seg") == s["id"]).union(both)
+                    both.select("doc").write.mode("overwrite").parquet(f"{self._seg(s['id'])}/deletes-{version}")
+                    s["deletes"], s["n_deleted"] = version, s.get("n_deleted", 0) + counts[s["id"]]
             if counts:
-                write_commit(self.path, commit)
+                with self.lock:
+                    write_commit(self.path, commit)
             n += sum(counts.values())
             if not n:
                 raise NotFound(f"document {doc_id!r} not found")
             return n
 
     def force_merge(self) -> dict:
-        with self.lock:
+        with self.writer:
             return self._merge(FORCE_MERGE)
 
     def _merge(self, least: int) -> dict:
@@ -281,33 +376,34 @@ class Index:
         old = commit["segments"]
         if len(old) < least:
             return {"merged": False, "segment": "", "segments_before": len(old), "segments_after": len(old), "docs": 0, "dropped": 0, "generation": commit["generation"]}
-        t = self.tables(commit, ram=False)
+        t = self.tables(commit)
         docs, posts = build.merge(t.docs, t.postings, t.deletes)
-        dropped = t.deletes.count()
+        dropped = sum(s.get("n_deleted", 0) for s in old)
         seg = self._next_id(commit)
-        n = t.docs.count() - dropped
+        n = sum(self.meta(s["id"])["docs"] for s in old) - dropped
         if n:
             self._write(seg, docs, posts)
         else:
             seg = ""
         commit["generation"] += 1
         commit["segments"] = [{"id": seg, "generation": commit["generation"]}] if seg else []
-        write_commit(self.path, commit)
-        for s in old:  # the merged segment is written; nothing lazy reads these any more
-            shutil.rmtree(self._seg(s["id"]))
+        with self.lock:
+            write_commit(self.path, commit)
+            self.trash += [s["id"] for s in old]
+            self._sweep()
         return {"merged": True, "segment": seg, "segments_before": len(old), "segments_after": len(commit["segments"]), "docs": n, "dropped": dropped, "generation": commit["generation"]}
 
     def stats(self) -> dict:
-        with self.lock:
-            commit = read_commit(self.path)
-            t = self.tables(commit, ram=False)
-            per = segment_stats(t.docs, t.terms, t.deletes).collect()
-            by = {r.seg: r for r in per}
-            segments = [{"id": s["id"], **{k: by[s["id"]][k] for k in ("docs", "deleted", "live", "terms")}, "bytes": _bytes(self._seg(s["id"]))} for s in commit["segments"]]
-            ram_terms = build.postings(self._buffer().select("seg_ord", "seg", "doc", "fields")).select("key").distinct().count() if self.ram else 0
+        """Counts of the segments, by their own words and the commit's, and of the buffer; no table is read."""
+        with self._reading() as (commit, ram):
+            segments = []
+            for s in commit["segments"]:
+                meta, gone = self.meta(s["id"]), s.get("n_deleted", 0)
+                segments.append({"id": s["id"], "docs": meta["docs"], "deleted": gone, "live": meta["docs"] - gone, "terms": meta["terms"], "bytes": _bytes(self._seg(s["id"]))})
+            ram_terms = len({scoped(k, t) for _, f in ram.values() for k, v in f.items() if k not in ("", "_id") for t in analyze(v)})
             return {
-                "name": self.name, "generation": commit["generation"], "docs": sum(s["live"] for s in segments) + len(self.ram), "deleted": sum(s["deleted"] for s in segments),
-                "ram_docs": len(self.ram), "ram_terms": ram_terms, "segments": segments,
+                "name": self.name, "generation": commit["generation"], "docs": sum(s["live"] for s in segments) + len(ram), "deleted": sum(s["deleted"] for s in segments),
+                "ram_docs": len(ram), "ram_terms": ram_terms, "segments": segments,
             }
 
 

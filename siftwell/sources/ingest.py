@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -28,11 +29,16 @@ def _constant(_: str):
     raise ValueError("not JSON")
 
 
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs, which no UTF-8 has, become U+FFFD."""
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
 def parse_document(line: str) -> tuple[str, dict[str, str]]:
     """(_id or '', fields) of a JSON object. Numbers keep their spelling, nulls are dropped, nested values are refused."""
     try:
         got = json.loads(line, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         raise BadDocument("invalid JSON body") from e
     if got is None:
         raise BadDocument("JSON body must be an object")
@@ -44,7 +50,7 @@ def parse_document(line: str) -> tuple[str, dict[str, str]]:
             continue
         if isinstance(v, (dict, list)):
             raise BadDocument("nested values are not supported")
-        fields[k] = ("true" if v else "false") if isinstance(v, bool) else str(v)
+        fields[_whole(k)] = ("true" if v else "false") if isinstance(v, bool) else _whole(str(v))
     return fields.pop("_id", ""), fields
 
 
@@ -66,8 +72,14 @@ def parse_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """(value, _id, fields, error) of each line that isn't blank."""
-    return parse_json(spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s", " ")) != ""), "value")
+    """(file, line, value, _id, fields, error) of each line that isn't blank.
+
+    ``file`` and ``line`` (a number that rises in a file) give the order. A line above 1 MiB is an error of
+    its own: the lines before and after it stand."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value").where(F.col("value").rlike(r"\S"))
+    long = F.octet_length("value") > MOST_LINE
+    got = parse_json(lines.withColumn("_body", F.when(long, F.lit("")).otherwise(F.col("value"))), "_body").drop("_body")
+    return got.withColumn("error", F.when(long, F.lit("line too long")).otherwise(F.col("error")))
 
 
 def last_wins(docs: DataFrame, key: str, order: str) -> DataFrame:

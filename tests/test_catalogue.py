@@ -3,9 +3,10 @@ import glob
 import duckdb
 import pytest
 
-from siftwell.plans import catalogue
+from siftwell.plans import catalogue, stored
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, SQL = catalogue.queries() | stored.queries(), catalogue.oracle_sql() | stored.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +18,12 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, name):
-    got, want = catalogue.queries()[name](spark, DATA).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
     c = sorted(got.columns)
     assert c == sorted(want.columns)
     assert got[c].astype(str).sort_values(c).values.tolist() == want[c].astype(str).sort_values(c).values.tolist()

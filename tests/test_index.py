@@ -3,7 +3,8 @@ import os
 
 import pytest
 
-from siftwell.sources.index import BadName, Exists, Manager, NotFound, read_commit
+from siftwell.plans import compile as plan
+from siftwell.sources.index import BadName, Corrupt, Exists, Manager, NotFound, read_commit
 from siftwell.sources.server import handle
 
 BOOLEAN = [("a1", "api", "error", "timeout calling db"), ("a2", "api", "info", "request ok"), ("w1", "worker", "error", "disk full"), ("a3", "api", "error", "connection reset"), ("d1", "db", "warn", "slow query timeout"), ("sv", "timeout", "info", "hello there")]
@@ -147,3 +148,144 @@ def test_http(spark, tmp_path):
     assert call("POST", "/indices/logs/_flush")[1]["docs"] == 3 and call("GET", "/indices/logs/_stats")[1]["docs"] == 3
     assert call("DELETE", "/indices/logs/_doc/x")[1] == {"_id": "x", "deleted": 1} and call("DELETE", "/indices/logs/_doc/x")[0] == 404
     assert call("POST", "/indices/logs/_forcemerge")[1]["merged"] is False and call("GET", "/indices")[1] == {"indices": [{"name": "logs", "segment_count": 1}]}
+
+
+def test_work_is_small(spark, tmp_path):
+    """Of 150 documents a selective query looks up two lists and examines four; of long documents it reads less than a hundredth."""
+    index = Manager(spark, str(tmp_path)).create("w")
+    pad = " ".join(f"pad{k}" for k in range(512))
+    for i in range(150):
+        level, service = ("error" if i % 10 == 0 else "info"), ("api" if i % 37 == 0 or i % 10 == 0 and i < 40 else "db")
+        index.index_document(f"d{i:03d}", {"level": level, "service": service, "message": f"needle{i % 75} {pad}"})
+    want = [f"d{i:03d}" for i in range(150) if i % 10 == 0 and (i % 37 == 0 or i < 40)]
+    got = index.search("level:error AND service:api")
+    assert [h["_id"] for h in got["hits"]] == want and (got["postings_lookups"], got["docs_examined"], got["io"]["postings_decoded"]) == (2, 4, 0)
+    index.flush()
+    whole = index.tables()
+    all_postings, all_docs = whole.terms.agg({"encoded_len": "sum"}).first()[0], 150 * len(pad)
+    for q, lists, n in (("needle7", 1, 2), ("needle7 OR needle7", 1, 2), ("needle7 AND level:error", 2, 0), ("needl7~1", 1, 2)):
+        got = index.search(q)
+        assert got["docs_examined"] == n and got["io"]["postings_decoded"] == lists, q
+        assert got["io"]["postings_bytes_read"] < all_postings / 100 and got["io"]["docs_bytes_read"] <= n * (len(pad) + 200) < all_docs / 50, q
+        assert got["io"]["metadata_bytes_read"] > 0
+
+
+def test_rare_key_first(spark, tmp_path, monkeypatch):
+    index = filled(spark, tmp_path, [(str(i), "api" if i == 7 else "db", "error", "common words here") for i in range(40)])
+    index.flush()
+    t = index.tables()
+    assert t.deletes is None
+    text = plan.matched(t, plan.parse("service:api AND common"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text and "SortMergeJoin" not in text
+    text = plan.matched(t, plan.parse("level:error AND common"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text  # without deletes, and with keys alike, nothing is joined
+    assert ids(index, "service:api AND common") == ["7"] and ids(index, "service:nobody AND common") == []
+    monkeypatch.setattr(plan, "MOST_KEYS", 0)
+    assert ids(index, "comon~1 AND service:api") == ["7"]
+
+
+def test_many_indexers_while_flushing_and_searching(spark, tmp_path):
+    import threading
+
+    index = Manager(spark, str(tmp_path)).create("x")
+    index.index_document("first", {"message": "common"})
+    seen, errors = [], []
+
+    def write(k):
+        for j in range(5):
+            index.index_document(f"{k}-{j}", {"message": "common words"})
+
+    def look():
+        try:
+            for _ in range(3):
+                seen.append(ids(index, "common", limit=1000))
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(32)] + [threading.Thread(target=look), threading.Thread(target=index.flush), threading.Thread(target=index.flush)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and all(len(x) == len(set(x)) and "first" in x for x in seen)
+    index.flush()
+    got = ids(index, "common", limit=1000)
+    assert len(got) == len(set(got)) == 161
+    index.verify()
+
+
+def test_documents_indexed_during_a_flush_stay_buffered(spark, tmp_path, monkeypatch):
+    index = Manager(spark, str(tmp_path)).create("x")
+    index.index_document("a", {"message": "old words"})
+    index.index_document("b", {"message": "old words"})
+    write = index._write
+
+    def slow(*args):
+        index.index_document("a", {"message": "new words"})
+        index.index_document("c", {"message": "new words"})
+        assert ids(index, "words") == ["b", "a", "c"]
+        write(*args)
+
+    monkeypatch.setattr(index, "_write", slow)
+    index.flush()
+    assert ids(index, "old") == ["a", "b"] and ids(index, "new") == ["a", "c"] and [i for _, i, _ in index.snapshot()] == ["a", "c"]
+
+
+def test_searches_outlive_a_merge(spark, tmp_path):
+    index = filled(spark, tmp_path, BOOLEAN)
+    index.flush()
+    index.index_document("later", {"message": "timeout"})
+    index.flush()
+    with index._reading() as (commit, ram):
+        tables = index.tables(commit, ram)
+        index.force_merge()
+        assert plan.search(tables, "timeout", None).count() == 3 and len(index.trash) == 2
+    assert not index.trash and os.listdir(os.path.join(index.path, "segments")) == ["seg-000003"]
+
+
+@pytest.mark.parametrize("bad", ["{", "[]", '{"id": "seg-000009", "docs": 6, "terms": 1, "created_ns": 1}', '{"id": "seg-000001", "docs": -1, "terms": 1, "created_ns": 1}'])
+def test_refuses_a_segment_of_another_name(spark, tmp_path, bad):
+    index = filled(spark, tmp_path, BOOLEAN)
+    index.flush()
+    with open(os.path.join(index.path, "segments", "seg-000001", "meta.json"), "w") as f:
+        f.write(bad)
+    with pytest.raises(Corrupt):
+        index.search("timeout")
+
+
+def test_verify_finds_lost_rows(spark, tmp_path):
+    index = filled(spark, tmp_path, BOOLEAN)
+    index.flush()
+    index.verify()
+    path = os.path.join(index.path, "segments", "seg-000001", "postings")
+    spark.read.parquet(path).where("key <> 'level:error'").write.parquet(path + ".new")
+    os.rename(path, path + ".old"), os.rename(path + ".new", path)
+    with pytest.raises(Corrupt):
+        index.verify()
+
+
+def test_a_replayed_batch_is_indexed_once(spark, tmp_path):
+    index = filled(spark, tmp_path, [])
+    docs = spark.createDataFrame([("p", {"message": "hello"})], "_id string, fields map<string,string>")
+    assert index.index_all(docs, "c#0")["flushed"] and not index.index_all(docs, "c#0")["flushed"] and index.index_all(docs, "c#1")["flushed"]
+    assert ids(index, "hello") == ["p", "p"]
+
+
+def test_bulk_over_a_socket(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from siftwell.sources.server import serve
+
+    m = Manager(spark, str(tmp_path))
+    index = m.create("logs")
+    server = serve(m, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/indices/logs/_bulk"
+    got = json.load(urllib.request.urlopen(urllib.request.Request(url, b'{"message":"one"}\n\n{"message":"two"}', method="POST")))
+    assert [x["status"] for x in got["items"]] == [201, 201]
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(urllib.request.Request(url, b'{"message":"three"}\n{"message":"' + b"x" * (1 << 20) + b'"}\n{"message":"four"}\n', method="POST"))
+    assert e.value.code == 400 and sorted(index.ram) == ["1", "2", "3"]
+    server.shutdown()
