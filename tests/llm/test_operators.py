@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_functions import phrases
+from test_functions import brute_tiles, phrases
 
 from siftwell.llm import crossparse, fingerprints, licenses, lines, neardup, packing, quality, queries, secrets, tiling, tokens
 
@@ -112,9 +112,16 @@ def brute_classes(many):
     for i in range(len(many)):
         out[find(i)].append(many[i][0])
     least = lambda ids: min((x for x in ids if x is not None), default=None)
+    brute_classes.groups = [[i for i in range(len(many)) if find(i) == g] for g in out]
     return Counter((i, least(ids)) for ids in out.values() for i in ids), Counter(map(least, out.values()))
 
 
+def brute_groups(many):
+    """Indices of the rows of each class."""
+    brute_classes(many)
+    return brute_classes.groups
+
+
 def test_near_classes(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     chain, group = [f"k{i}" for i in range(60)], []
@@ -230,3 +237,109 @@ def test_filter_of_many_segments(spark, monkeypatch):
     monkeypatch.setattr(lines, "LEAST_BITS", 1 << 12)
     many = [(i, "\n".join(f"{'both' if j % 7 == 0 else i} {j}" for j in range(40))) for i in range(11)]
     assert {(r.n_lines, r.n_dropped) for r in lines.op4(table(spark, many)).collect()} == {(40, 6)}
+
+
+def word_list(t):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+
+def test_license_labels_by_brute_force(spark):
+    r = random.Random(12)
+    bits = [w for _, t, _ in licenses.TEMPLATES for w in t.split()] + ["filler", "License", "the", "é"]
+    pieces = [t for _, t, _ in licenses.TEMPLATES] + list(licenses.BASE.values())
+    many = rows() + [(100 + i, " ".join(r.choice([r.choice(pieces), r.choice(pieces), *r.choices(bits, k=3)]) for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    many += [(200, "The MIT License"), (201, "APACHE-LICENSE"), (202, "apache the license"), (203, "version 2 0 licensed under the"), (204, None)]
+    words = [word_list(t) for _, t in many]
+    df = Counter(w for ws in words for w in set(ws) if w in licenses.vocabulary())
+    postings = licenses.index(df, len(many))
+    assert licenses.document_frequencies(table(spark, many)) == (dict(df), len(many))
+    want = Counter()
+    for (i, _), ws in zip(many, words):
+        base = [lab for lab, p in licenses.BASE.items() for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+        best, labels = 0.0, set(base)
+        for (label, text, key), own in zip(licenses.TEMPLATES, postings):
+            t, k = text.split(), key.split()
+            at = next(j for j in range(len(t)) if t[j : j + len(k)] == k)
+            for start in range(-len(t), len(ws)):
+                share = sum(v for w, p, v in own if 0 <= start + p < len(ws) and ws[start + p] == w) / sum(v for *_, v in own)
+                if share >= licenses.SHARE and start + at >= 0 and ws[start + at : start + at + len(k)] == k:
+                    labels.add(label)
+                    best = max(best, share)
+        want[i, ",".join(sorted(labels)), round(1.0 if base else min(best, 1.0), 9)] += 1
+    got = licenses.op3(table(spark, many)).collect()
+    assert Counter((x.doc_id, x.labels, round(x.score, 9)) for x in got) == want
+    assert {x.doc_id: x.labels for x in got if x.doc_id in (200, 201, 202)} == {200: "mit", 201: "apache", 202: ""}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    r = random.Random(5)
+    vocab = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ana", "eni", "olo", "uru")]
+    text = lambda n: " ".join(r.choices(vocab, k=n))
+    items = [(1, text(12)), (2, text(20))]
+    many = [(i, f"{text(30)}\nShared LINE here\n{text(25)}") for i in range(40)]
+    many += [(50 + i, "shared line here") for i in range(3)] + [(60, many[3][1] + " tail"), (61, many[3][1]), (62, "!!! ### $$$ " * 40), (63, "### %% 11 22 " * 50), (64, text(9) + " " + items[0][1] + " " + text(9)), (65, " ".join(items[1][1].split()[10:]) + " zz " + " ".join(items[1][1].split()[:10])), (66, None), (None, text(40)), (None, text(40)), (67, text(5000))]
+    labels = [(i, 1, 0) for i in range(30)] + [(62, 0, 0), (63, 0, 0), *((70 + i, 0, 0) for i in range(12))]
+    many += [(70 + i, "### %% $$ " * (20 + i)) for i in range(12)]
+    table(spark, many).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = [(i, t) for i, t in many if quality.probability((t or "").encode(), model) >= 0.5]
+    assert 30 < len(want) < len(many)
+
+    def same(stage, want):
+        nonlocal docs
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert Counter((x.doc_id, x.text or "", x.n_chars) for x in docs.collect()) == Counter((i, t or "", len(t or "")) for i, t in want)
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    same(stages[0], want)
+    keys = lambda t: [x.strip(" \t\n\v\f\r").lower() for x in (t or "").split("\n")]
+    count = Counter(k for _, t in want for k in set(keys(t)) if k)
+    first = {k: min(i for i, t in want if i is not None and k in keys(t)) for k, n in count.items() if n >= 10}
+    kept = []
+    for i, t in want:
+        lines_, seen = (t or "").split("\n"), set()
+        stay = [x for x, k in zip(lines_, keys(t)) if k not in first or first[k] == i and not (k in seen or seen.add(k))]
+        if len(stay) == len(lines_) or "\n".join(stay):
+            kept.append((i, "\n".join(stay)))
+    assert "shared line here" in first and len(kept) < len(want)
+    same(stages[1], kept)
+    best = {}
+    groups = brute_groups(kept)
+    for g in groups:
+        k = min(g, key=lambda j: (kept[j][0] is None, kept[j][0] or 0))
+        best[k] = kept[k]
+    assert len(best) < len(kept)
+    same(stages[2], list(best.values()))
+    held = lambda t, item: sum(n for *_, n in brute_tiles(word_list(item), word_list(t), 4)) / len(word_list(item)) >= 0.5
+    clean = [(i, t) for i, t in best.values() if len(word_list(t)) > 1000 or not any(held(t, x) for _, x in items)]
+    assert {64, 65} <= {i for i, _ in best.values()} - {i for i, _ in clean}
+    same(stages[3], clean)
+    out = stages[4](spark, docs, str(tmp_path)).collect()
+    pieces = Counter()
+    for i, t in clean:
+        n = len(t.split())
+        pieces.update((i, k // 4096, min(4096, n - k)) for k in range(0, n, 4096))
+    assert Counter((x.doc_id, x.piece, x.n_tokens) for x in out) == pieces
+    bins = defaultdict(list)
+    for x in out:
+        bins[x.shard, x.bin].append((x["at"], x.n_tokens, x.capacity))
+    for b in bins.values():
+        b.sort()
+        assert all(a + n == c for (a, n, _), (c, *_) in zip(b, b[1:])) and b[-1][0] + b[-1][1] <= b[0][2]
+
+
+@pytest.mark.parametrize("name", ["op3", "op4", "op10"])
+def test_long_texts(spark, name):
+    """A text of a million words, and one line of it."""
+    text = "word " * 500_000 + "token = abcdefgh12 all rights reserved " + "other " * 500_000
+    out = OPS[name](table(spark, [(1, text), (2, "x")])).where("doc_id = 1").first()
+    if name == "op3":
+        assert (out.n_words, out.n_base, out.first_word) == (1_000_005, 1, 500_002)
+    elif name == "op4":
+        assert (out.n_lines, out.n_dropped) == (1, 0)
+    else:
+        assert out.spans == "assign:2500000:2500018"
