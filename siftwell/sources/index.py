@@ -145,13 +145,14 @@ class Index:
             self.ram[doc_id] = seq, {k: v for k, v in fields.items() if k != "_id"}
             return doc_id, seq, replaced
 
-    def index_all(self, docs: DataFrame, batch: str | None = None) -> dict:
+    def index_all(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> dict:
         """Write a DataFrame (_id, fields) as a segment of its own, without the buffer: the way in for bulk data. Ids must not be empty.
 
-        ``batch`` names the data: what is in the commit under a name already isn't written again."""
+        ``batch`` is a stream's name and the number of its batch: the commit keeps the last number of each
+        stream, and a batch up to that isn't written again."""
         with self.writer:
             commit = read_commit(self.path)
-            if batch is not None and batch in commit.get("batches", []):
+            if batch is not None and batch[1] <= commit.get("batches", {}).get(batch[0], -1):
                 return {"flushed": False, "segment": "", "docs": 0, "terms": 0, "generation": commit["generation"]}
             seg = self._next_id(commit)
             body = docs.select("_id", F.map_concat(F.map_filter("fields", lambda k, v: k != "_id"), F.create_map(F.lit("_id"), F.col("_id"))).alias("fields"))
@@ -163,7 +164,7 @@ class Index:
             self._write(seg, placed.join(dense, "_m").select(F.col("new_doc").alias("doc"), "_id", "fields"), None)
             shutil.rmtree(stage)
             if batch is not None:
-                commit.setdefault("batches", []).append(batch)
+                commit.setdefault("batches", {})[batch[0]] = batch[1]
             return self._publish(commit, seg)
 
     def _buffer(self, ram: dict[str, tuple[int, dict[str, str]]]) -> DataFrame:

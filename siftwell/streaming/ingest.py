@@ -18,7 +18,7 @@ def follow(spark: SparkSession, folder: str, index: Index, checkpoint: str, once
         good = parse_json(batch.where(F.trim("value") != ""), "value").where("error is null")
         named = good.select(F.when(F.col("_id") != "", F.col("_id")).otherwise(F.concat(F.lit(f"{n}-"), F.monotonically_increasing_id().cast("string"))).alias("_id"), "fields")
         if not named.isEmpty():
-            index.index_all(named, f"{checkpoint}#{n}")
+            index.index_all(named, (checkpoint, n))
 
     writer = spark.readStream.text(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

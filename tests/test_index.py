@@ -267,7 +267,7 @@ def test_verify_finds_lost_rows(spark, tmp_path):
 def test_a_replayed_batch_is_indexed_once(spark, tmp_path):
     index = filled(spark, tmp_path, [])
     docs = spark.createDataFrame([("p", {"message": "hello"})], "_id string, fields map<string,string>")
-    assert index.index_all(docs, "c#0")["flushed"] and not index.index_all(docs, "c#0")["flushed"] and index.index_all(docs, "c#1")["flushed"]
+    assert index.index_all(docs, ("c", 0))["flushed"] and not index.index_all(docs, ("c", 0))["flushed"] and index.index_all(docs, ("c", 1))["flushed"]
     assert ids(index, "hello") == ["p", "p"]
 
 
