@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.textbatch import fresh, small_batches, written
+from siftwell.llm.textbatch import forget, fresh, small_batches, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,6 +117,7 @@ def repeats(docs: DataFrame, text: str = "text", least: int = 10, least_len: int
     if few:
         places = [np.frombuffer(b, np.uint32).astype(np.uint64) + np.uint64(seg * SEGMENT) for seg, b in bits.select("seg", "bits").toLocalIterator()]
         filter_ = spark.sparkContext.broadcast(np.sort(np.concatenate(places)) if places else np.zeros(0, np.uint64))
+        forget(spark, bits)
     else:
         filter_ = spark.sparkContext.broadcast(None)
 
@@ -194,6 +195,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = 10, least_len:
     own = [F.col(f"`{c}`") for c in names]
     if few:
         found = spark.sparkContext.broadcast({(r.key if len(r.key) < 16 else hashlib.blake2b(r.key, digest_size=16).digest()): r.first_row for r in hot.toLocalIterator()})
+        forget(spark, hot)
         rows = docs.select(*own, at.alias(at_), F.lit(None).cast("array<struct<key:binary,first_row:bigint>>").alias(hot_), t.alias(text_))
     else:
         # each text's repeats come to it by a join on the keys, and by a second one on the text's own hash (equal texts share them)

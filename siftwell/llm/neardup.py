@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.textbatch import fresh, mix, shingles, small_batches, text_bytes, text_hash, word_hashes, written
+from siftwell.llm.textbatch import forget, fresh, mix, shingles, small_batches, text_bytes, text_hash, word_hashes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -158,8 +158,10 @@ def components(links: DataFrame) -> DataFrame:
         up = now.select(F.col("t").alias("c"), F.col("comp").alias("cc"))
         new = written(step.join(up, "c", "left").select("t", F.least("c", F.coalesce("cc", "c")).alias("comp"), F.col("comp").alias("old")), "comp")
         moved = new.where("comp <> old").limit(1).count()
+        forget(now.sparkSession, now)
         now = new.select("t", "comp")
         if not moved:
+            forget(now.sparkSession, both)
             return now
 
 
@@ -195,7 +197,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     blk = F.pmod(F.xxhash64("t"), nblk).cast("int")
     dealt = mixed.select("bucket", "t", "comp", blk.alias("blk"), F.explode(F.sequence(F.lit(0), nblk - 1)).alias("o")).select("bucket", "t", "comp", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
     more = dealt.join(texts, "t").groupBy("bucket", "x", "y").applyInPandas(_within, "a long, b long")
-    comp = components(links.union(written(more, "links2")))
+    more = written(more, "links2")
+    forget(spark, buckets, pairs, ids, texts, comp)
+    comp = components(links.union(more))
+    forget(spark, links, more)
     placed = distinct.select("h", "h2", "t").join(comp, "t", "left").select("h", "h2", F.coalesce("comp", "t").alias("comp"))
     named = sketch.select("doc_id", "h", "h2").join(placed, ["h", "h2"])
     classes = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.textbatch import fresh, written
+from siftwell.llm.textbatch import forget, fresh, written
 from siftwell.llm.trigrams import Query, derive
 
 BITS = 62
@@ -149,7 +149,9 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, o
     h, mask = fresh(docs, "_h", "_rules")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
     if any(q.kind != "all" for q in asked):
-        some = written(candidates(index(docs, text, rules), rules), "candidates").select(F.col("h").alias(h), F.col("rules").alias(mask))
+        postings = index(docs, text, rules)
+        some = written(candidates(postings, rules), "candidates").select(F.col("h").alias(h), F.col("rules").alias(mask))
+        forget(docs.sparkSession, postings)
         few = some.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS
         joined = docs.withColumn(h, text_key(text)).join(F.broadcast(some) if few else some, h, "left")
     else:
