@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import lines, neardup, packing, quality, tiling
-from siftwell.llm.textbatch import fresh, written
+from siftwell.llm.textbatch import forget, fresh, written
 
 
 def _columns(docs: DataFrame, text) -> DataFrame:
@@ -67,8 +67,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k}")
+            if kept is not None:
+                forget(spark, kept)
+            kept = docs
     return docs
