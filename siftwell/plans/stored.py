@@ -30,6 +30,8 @@ _built: dict[tuple[str, str, str], Index] = {}
 
 def _folder(spark: SparkSession) -> str:
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:")
+    if not shared and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     path = f"/{shared.lstrip('/')}" if shared else tempfile.gettempdir()
     return os.path.join(path, f"indices-{uuid.uuid4().hex}")
 
