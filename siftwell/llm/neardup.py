@@ -7,10 +7,12 @@ and a process ends when its time exceeds the largest register. So equal register
 probability of the weighted Jaccard similarity. Texts that agree in a band are candidates:
 
 * round 1 compares each with the smallest text of its bucket, and links become components;
-* round 2 takes the buckets that still hold several components, in pairs of blocks of bounded
-  size, and compares what is not in one component yet, each pair in its first common band only.
+* round 2 takes the buckets that still hold several components and compares what is not in one
+  component yet: a small bucket at once; the texts of all large ones lie in blocks of bounded size,
+  and each pair of blocks that some large bucket meets in is compared once, whatever the buckets.
 
-Each link is verified on the whole multisets. No pairs are capped, and no group is in one task.
+Each link is verified on the whole multisets; in round 2 for all texts of two blocks at once, as
+products of matrices. No pairs are capped, and no group is in one task.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 WORDS, SIMILAR = 5, 0.8
-#: Texts of a block in round 2, and of ids that are broadcast (32 bytes each).
-BLOCK, MOST_IDS = 128, 500_000
-#: A signature's share of equal registers below which a pair cannot reach SIMILAR (over 6 standard errors).
-HOPELESS = SIMILAR - 0.24
+#: Texts of a block in round 2 (one of more bytes than PIECE counts as several), and of ids that are broadcast (32 bytes each).
+BLOCK, PIECE, MOST_IDS = 512, 4096, 500_000
+#: Texts of a block pair from which a shingle's column is multiplied instead of listed, and columns that are multiplied at once.
+COMMON, COLUMNS = 8, 4096
 
 
 def bag_minhash(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -122,32 +124,83 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def similarities(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each text of ``a`` (rows) and each of ``b`` (columns), indices of ``texts``."""
+    h, at = word_hashes(*text_bytes(texts))
+    s, doc = shingles(h, at, WORDS)
+    size = np.bincount(doc, minlength=len(texts))
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])])[: len(s)]
+    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    # the nth of equal shingles in a text is an item of its own, so multisets overlap in the items that both have
+    _, item, held = np.unique(np.where(nth > 0, mix(s ^ mix(nth.astype(np.uint64))), s), return_inverse=True, return_counts=True)
+    order = np.argsort(item, kind="stable")
+    doc, item, begin = doc[order], item[order], np.concatenate([[0], np.cumsum(held)])
+    row, col = np.full(len(texts), -1), np.full(len(texts), -1)
+    row[a], col[b] = np.arange(len(a)), np.arange(len(b))
+    both = np.zeros((len(a), len(b)))
+    for k in range(1, COMMON):
+        of = doc[begin[:-1][held == k][:, None] + np.arange(k)]
+        x, y = np.broadcast_arrays(row[of][:, :, None], col[of][:, None, :])
+        good = (x >= 0) & (y >= 0)
+        both += np.bincount(x[good] * len(b) + y[good], minlength=both.size).reshape(both.shape)
+    many = held >= COMMON
+    number = np.cumsum(many) - 1
+    doc, item = doc[many[item]], number[item[many[item]]]
+    for first in range(0, int(many.sum()), COLUMNS):
+        lo, hi = np.searchsorted(item, [first, first + COLUMNS])
+        has = np.zeros((len(texts), int(item[hi - 1]) - first + 1), np.float32)
+        has[doc[lo:hi], item[lo:hi] - first] = 1
+        both += has[a] @ has[b].T
+    return both / np.maximum(1, size[a][:, None] + size[b][None, :] - both)
+
+
 def _within(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components among the texts of two blocks of one bucket."""
+    """Links that join components: among the texts of a bucket or block, or between those of two blocks."""
     g = group.drop_duplicates("t").sort_values("t").reset_index(drop=True)
-    sig = signatures(pa.array(g.text))
-    keys = bands(sig)
-    bags = [bag(t) for t in g.text]
-    top = {c: c for c in g.comp}
+    sides = [np.flatnonzero(g.side == i) for i in (0, 1)]
+    a, b = sides if len(sides[1]) else (sides[0], sides[0])
+    names, comp = np.unique(g.comp, return_inverse=True)
+    x, y = np.nonzero((similarities(pa.array(g.text), a, b) >= SIMILAR) & (comp[a][:, None] != comp[b][None, :]))
+    x, y = a[x], b[y]
+    _, one = np.unique(np.minimum(comp[x], comp[y]) * len(names) + np.maximum(comp[x], comp[y]), return_index=True)
+    top = list(range(len(names)))
 
     def find(c):
         while top[c] != c:
             top[c] = c = top[top[c]]
         return c
 
-    out, one = [], bool(g.blk.nunique() == 1)
-    comp, blk, bucket = g.comp.tolist(), g.blk.tolist(), group.bucket.iloc[0]
-    for i in range(len(g)):
-        like = (sig[i + 1 :] == sig[i]).mean(1)
-        first = (keys[i + 1 :] == keys[i]).argmax(1)
-        mine = keys[i][first] == bucket  # in an earlier common band, that band's bucket compares the two
-        for j in np.flatnonzero(mine & (like >= HOPELESS)) + i + 1:
-            if (one or blk[i] != blk[j]) and find(comp[i]) != find(comp[j]) and overlap(bags[i], bags[j]) >= SIMILAR:
-                top[find(comp[i])] = find(comp[j])
-                out.append((g.t[i], g.t[j]))
+    out = []
+    for i, j in zip(x[one], y[one]):
+        p, q = find(comp[i]), find(comp[j])
+        if p != q:
+            top[p] = q
+            out.append((g.t[i], g.t[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _compared(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, y, side, t, comp): the texts of each group that is compared, and a table to forget. ``mixed``: (bucket, n, t, comp, w), w: pieces of the text.
+
+    A bucket of at most BLOCK pieces is a group. A text of larger ones lies in a block of its largest
+    bucket, beside others of its component; two blocks are a group if a large bucket holds texts of both
+    and not of one component only. So a text goes to as many groups as there are blocks that it meets."""
+    mixed = mixed.withColumn("whole", F.sum("w").over(_by("bucket")))
+    small = mixed.where(F.col("whole") <= BLOCK).select(F.col("bucket").alias("x"), F.col("bucket").alias("y"), F.lit(0).alias("side"), "t", "comp")
+    hot = mixed.where(F.col("whole") > BLOCK)
+    home = hot.groupBy("t", "comp", "w").agg(F.max(F.struct("n", "bucket")).getField("bucket").alias("home"))
+    before = F.sum("w").over(_by("home").orderBy("comp", "t")) - F.col("w")
+    placed = written(home.select("t", "comp", F.xxhash64("home", F.floor(before / BLOCK)).alias("block")), "blocks")
+    spans = hot.select("bucket", "t").join(placed, "t").groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    other = spans.select("bucket", F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = spans.withColumnRenamed("block", "x").join(other, "bucket").where((F.col("x") <= F.col("y")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2"))).select("x", "y").distinct()
+    met = met.withColumn("side", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    met = met.withColumn("block", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
+    return small.union(met.join(placed, "block").select("x", "y", "side", "t", "comp")), placed
+
+
 def components(links: DataFrame) -> DataFrame:
     """(t, comp): each linked text and the smallest of its component. Smallest neighbours and pointer jumping, each round written."""
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
@@ -193,12 +246,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     comp = components(links)
     placed = buckets.join(comp, "t", "left").select("bucket", "t", "n", F.coalesce("comp", "t").alias("comp"))
     mixed = placed.withColumn("lo", F.min("comp").over(_by("bucket"))).withColumn("hi", F.max("comp").over(_by("bucket"))).where("lo <> hi and n > 2")
-    nblk = F.ceil(F.col("n") / BLOCK).cast("int")
-    blk = F.pmod(F.xxhash64("t"), nblk).cast("int")
-    dealt = mixed.select("bucket", "t", "comp", blk.alias("blk"), F.explode(F.sequence(F.lit(0), nblk - 1)).alias("o")).select("bucket", "t", "comp", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
-    more = dealt.join(texts, "t").groupBy("bucket", "x", "y").applyInPandas(_within, "a long, b long")
+    pieces = texts.select("t", F.greatest(F.lit(1.0), F.octet_length("text") / PIECE).alias("w"))
+    mixed = written(mixed.join(pieces, "t").select("bucket", "n", "t", "comp", "w"), "mixed")
+    dealt, placed = _compared(mixed)
+    more = dealt.join(texts, "t").groupBy("x", "y").applyInPandas(_within, "a long, b long")
     more = written(more, "links2")
-    forget(spark, buckets, pairs, ids, texts, comp)
+    forget(spark, buckets, pairs, ids, texts, comp, mixed, placed)
     comp = components(links.union(more))
     forget(spark, links, more)
     placed = distinct.select("h", "h2", "t").join(comp, "t", "left").select("h", "h2", F.coalesce("comp", "t").alias("comp"))

@@ -132,6 +132,17 @@ def test_match_lengths():
             assert n == max((x + [False]).index(False) for x in held)
 
 
+def test_similarities(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    r = random.Random(21)
+    texts = ["", "!!", "one two", "one two", "ab " * 60, "ab " * 90] + [" ".join(r.choices("abc", k=r.randrange(40))) for _ in range(30)]
+    bags = [neardup.bag(t) for t in texts]
+    for a, b in ((np.arange(36), np.arange(36)), (np.arange(4, 9), np.arange(9, 30)), (np.arange(2), np.arange(1))):
+        want = [[neardup.overlap(bags[i], bags[j]) for j in b] for i in a]
+        assert np.array_equal(neardup.similarities(pa.array(texts), a, b), want)
+    assert not neardup.similarities(pa.array(["", None]), np.arange(2), np.arange(2)).any()
+
+
 def test_tokens_match_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer

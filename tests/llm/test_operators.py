@@ -134,6 +134,19 @@ def test_near_classes(spark, monkeypatch):
     assert Counter(kept) == brute_classes(many)[1]  # one row of each class, two classes without an id
 
 
+def test_hot_buckets_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    mixed = [(b, 40, t, t if t < 30 else 99, 1.0) for b in range(32) for t in range(40)] + [(50, 3, t, t, 1.0) for t in (1, 2, 60)]
+    dealt = [tuple(r) for r in neardup._compared(spark.createDataFrame(mixed, "bucket long, n long, t long, comp long, w double"))[0].collect()]
+    groups = defaultdict(list)
+    for x, y, side, t, _ in dealt:
+        groups[x, y].append((side, t))
+    assert sorted(groups.pop((50, 50))) == [(0, 1), (0, 2), (0, 60)]
+    assert len(groups) == 14 and max(map(len, groups.values())) <= 16  # of 5 blocks, the last in one component; not 32 times as many
+    met = {frozenset((t, u)) for g in groups.values() for i, t in g for j, u in g if t != u and (i != j or len({k for k, _ in g}) == 1)}
+    assert {frozenset((t, u)) for t in range(40) for u in range(t) if u < 30} <= met
+
+
 def test_leaks_catch_reordered_passages(spark, monkeypatch):
     w = WORDS.split()
     docs = table(spark, [(1, "x y " + WORDS.upper() + " z"), (2, " ".join(w[10:]) + " filler words " + " ".join(w[:10])), (3, " ".join(w[:8])), (4, None), (5, " ".join(w[::-1]))])
