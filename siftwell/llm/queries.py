@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": docs(lines.op4),
         "op5_decontamination": also(tiling.op5, "benchmark"),
         "op6_quality": also(quality.op6, "labels"),
-        "op7_lm_scores": docs(crossparse.op7),
+        "op7_lm_scores": docs(crossparse.lm_scores),
         "op8_near_dedup": docs(neardup.op8),
         "op9_token_counts": docs(tokens.op9),
         "op10_secret_scan": docs(secrets.op10),

@@ -143,6 +143,24 @@ def test_similarities(monkeypatch):
     assert not neardup.similarities(pa.array(["", None]), np.arange(2), np.arange(2)).any()
 
 
+def test_extended_matches():
+    r, size = random.Random(14), crossparse.LONGEST
+    for _ in range(12):
+        base = [r.randrange(1, 4) for _ in range(200)]
+        texts = [base[r.randrange(60) :][: r.randrange(20, 180)] + r.choices((1, 2, 9), k=r.randrange(20)) for _ in range(5)] + [[7] * r.randrange(20, 90), [7] * 50]
+        flat = np.array([w for t in texts for w in [*t, 0]], np.uint32)
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        places = [(d, i) for d, t in enumerate(texts) for i in range(len(t) - size + 1)]
+        same = lambda p, q: next((k for k, (x, y) in enumerate(zip([*texts[p[0]][p[1] :], 0], [*texts[q[0]][q[1] :], -1])) if x != y), None)
+        want = {p: max((same(p, q) for q in places if q[0] != p[0]), default=0) for p in places}
+        asked = [p for p in places if want[p] >= size]
+        heads = {h: k for k, h in enumerate(sorted({tuple(texts[d][i : i + size]) for d, i in asked}))}
+        doc, at = np.array([d for d, _ in asked]), np.array([begin[d] + i for d, i in asked])
+        hashes = crossparse.Prefixes([(flat, crossparse.sums(flat))], np.zeros(len(at), np.int64), at)
+        got = crossparse.extend(hashes, np.array([heads[tuple(texts[d][i : i + size])] for d, i in asked]), doc, begin[doc + 1] - 1 - at)
+        assert got.tolist() == [want[p] for p in asked]
+
+
 def test_tokens_match_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer

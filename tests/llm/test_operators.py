@@ -221,6 +221,20 @@ def test_lm_scores_against_all_other_rows(spark, monkeypatch, hot):
     assert len({x.score for x in crossparse.op7(copies).collect()}) == 1
 
 
+@pytest.mark.parametrize("bucket", [60, 10**6])
+def test_phrases_of_any_length(spark, monkeypatch, tmp_path, bucket):
+    monkeypatch.setattr(crossparse, "BUCKET", bucket)
+    r = random.Random(31)
+    base = [f"w{r.randrange(200)}" for _ in range(330)]
+    texts = [base, base + ["z"], base[40:] + base[:90], ["ab"] * 150, ["ab"] * 101 + ["c"], ["x"] + base[100:200], base[150:], base[:70] + ["y"] + base[71:140], base[100:141] + ["q"], r.choices("ab", k=120), r.choices("ab", k=120)]
+    many = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(50, "one line " * 30), (51, "one line " * 30), (52, None), (53, "")]
+    table(spark, many).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    words = [word_list(t) for _, t in many]
+    want = {i: phrases(words[k], [w for j, w in enumerate(words) if j != k], 1000) for k, (i, _) in enumerate(many)}
+    got = queries.queries()["op7_lm_scores"](spark, str(tmp_path)).collect()
+    assert {x.doc_id: x.n_phrases for x in got} == want and want[50] == 1
+
+
 def lz78(words):
     seen, n, now = set(), 0, ()
     for w in words:
